@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: keeps a batch of long texts small beside the executor's memory.
 BATCH_ROWS = 512
@@ -46,6 +48,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def row_numbers(seen: list[int], rows: int) -> pa.Array:
+    """Numbers that no other row of the same job has: the task's partition above, its rows so far below.
+    ``seen`` is the task's own counter."""
+    first = (TaskContext.get().partitionId() << 36) + seen[0]
+    seen[0] += rows
+    return pa.array(range(first, first + rows), pa.int64())
+
+
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` over small batches; ``make`` turns a batch into one batch or several."""
     small_batches(df.sparkSession)
@@ -68,6 +78,11 @@ def column_texts(batch: pa.RecordBatch, at: int) -> list[str]:
     return [x or "" for x in batch.column(at).to_pylist()]
 
 
+def named(columns: list[str]) -> list[Column]:
+    """The columns by their exact names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever extra columns it carries."""
     taken = {c.lower() for c in df.columns}

@@ -15,14 +15,16 @@ columns other than the id and the text are not read. An empty table gives an emp
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, column_bytes, saved
+from tidemark.llm.common import column_bytes, named, row_numbers, saved, small_batches
 from tidemark.llm.components import components
 
 #: Hashes whose bits are counted at once: bounds memory on a very long text.
@@ -56,15 +58,20 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(majority, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs``."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """``(keep, fp, row)`` for every row of ``docs``: the named columns as one struct, the fingerprint, and a
+    number of its own for the row."""
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(t, shingle) for t in column_bytes(batch, 1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [0]
+        for batch in batches:
+            fps = pa.array([fingerprint(t, shingle) for t in column_bytes(batch, 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, row_numbers(seen, batch.num_rows)], ["keep", "fp", "row"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, fp long")
+    small_batches(docs.sparkSession)
+    given = docs.select(F.struct(*named(keep)).alias("keep"), *[c.alias("text") for c in named([text_col])])
+    longs = [T.StructField(c, T.LongType()) for c in ("fp", "row")]
+    return given.mapInArrow(run, T.StructType([given.schema["keep"], *longs]))
 
 
 def _signed(x: int) -> int:
@@ -110,22 +117,37 @@ def links(distinct_fps: DataFrame, max_distance: int, segments: int) -> DataFram
     earlier = F.lit(True)
     for k, (cover, radius) in enumerate(plan):
         earlier = earlier & ((F.col("seg") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(cover)))) > radius))
-    joined = probes.alias("p").join(
+    # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
+    joined = probes.alias("p").hint("merge").join(
         table.alias("t"),
         (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key")) & (F.bit_count(apart) <= max_distance) & (~F.col("same") | (F.col("a") < F.col("b"))),
     )
     return joined.select(F.col("p.seg").alias("seg"), "a", "b").where(earlier).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the least id that links reach."""
-    fps = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
+def groups(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """``(fp, component, component_id)`` for each different ``fp`` of ``fps(fp, doc_id)``."""
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     linked = components(links(distinct.select("fp"), max_distance, segments)).withColumnRenamed("node", "fp")
     labelled = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = labelled.join(least, "component").select("fp", "component_id")
-    return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    return labelled.join(least, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the least id that links reach."""
+    fps = saved(fingerprints(docs, [id_col], text_col, shingle), "simhash").select(F.col("keep").getField(id_col).alias("doc_id"), "fp")
+    return fps.join(groups(fps, max_distance, segments), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that with the least id, of equal ids the first saved."""
+    held = saved(fingerprints(docs, docs.columns, text_col, shingle), "simhash")
+    fps = held.select(F.col("keep").getField(id_col).alias("doc_id"), "fp", "row")
+    grouped = fps.join(groups(fps, max_distance, segments), "fp", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = grouped.groupBy("component").agg(first.alias("first")).select("first.row")
+    return held.join(kept, "row", "left_semi").select("keep.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:
