@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, quality, simhash
+from tidemark.llm import packing, pii, quality, simhash, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    found = warc.resolved(warc.read(warc.index(spark, archives), payloads=False))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
+RULES = [
+    urlfilter.Rule("block", "com", "/en/"),
+    urlfilter.Rule("allow", "example.com", "/en/7"),
+    urlfilter.Rule("allow", "net", "/de/"),
+    urlfilter.Rule("block", "example.net", "/de/8"),
+    urlfilter.Rule("block", "org", "/es/"),
+]
+#: The listed domains: each of these names below each of these suffixes.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_SUFFIXES = ("example.com", "example.net", "example.org")
+LISTED = [f"{n}.{s}" for n in LISTED_NAMES for s in LISTED_SUFFIXES]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(d,) for d in LISTED], "key string")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed).select("page_id", "judged.*")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -54,7 +78,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_packing, op8_simhash_near_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op7_url_filter, op8_simhash_near_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
