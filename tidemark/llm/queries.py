@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, quality, simhash, urlfilter, warc
+from tidemark.llm import packing, pii, quality, simhash, urlfilter, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +77,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "quality.*")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op7_url_filter, op8_simhash_near_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
