@@ -14,63 +14,84 @@ pieces. An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-from bisect import bisect_left, insort
+import os
+import unicodedata
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, column_bytes, free_name, saved, small_batches
+from tidemark.llm.common import arrow_map, free_name, named, saved, small_batches
+from tidemark.llm.words import WordTable, grouped
 
 #: Words that a Python worker remembers with their ids.
-_REMEMBERED = 300_000
-#: Longer words are not remembered.
-_LONG_WORD = 64
+REMEMBERED = 1_200_000
+#: Words encoded by one call.
+_JOINED = 4096
 
 
 class WordIds:
     """Token ids of texts, word by word.
 
-    White space never lies inside a token of this vocabulary and normalisation doesn't cross it, so the
-    ids of a text are the ids of its words in order; each word is encoded by the tokenizer once and
-    remembered as its little-endian 32-bit ids."""
+    White space never lies inside a token of this vocabulary and normalisation doesn't cross it, so the ids of a
+    text are the ids of its words in order. New words that are plain lower-case letters (and may end in one
+    mark) are encoded many at a time, joined by spaces, as each is one unit whose last token alone ends a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, encoded)}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]  # by ASCII white space
-        fresh = [w for w in set().union(*split) if w not in self.known]
-        if len(self.known) + len(fresh) > _REMEMBERED:
-            self.known.clear()
-            fresh = list(set().union(*split))
-        long = [w for w in fresh if len(w) > _LONG_WORD]
-        for k in range(0, len(fresh), 4096):
-            self.known |= self._learn([w for w in fresh[k : k + 4096] if len(w) <= _LONG_WORD])
-        extra = self._learn(long) if long else {}
-        for words in split:
-            if extra:
-                yield b"".join([self.known.get(w) or extra.get(w, b"") for w in words])
-            else:
-                yield b"".join(map(self.known.__getitem__, words))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.table = WordTable(self._learn, REMEMBERED)
+        self.marks = {m: self._one(m) for m in ".,;:!?"}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _plain(word: str) -> bool:
+        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    @staticmethod
+    def _lower(word: str) -> str:
+        """Lower case where it is one letter for another, whatever stands beside it."""
+        low = word.lower()
+        return low if len(low) == len(word) and "\u03a3" not in word and unicodedata.is_normalized("NFC", word) else word
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # a letter that the two Unicode tables see differently
+            return [self._one(w) for w in words]
+        data, cuts = ids.tobytes(), (4 * np.concatenate(([0], ends))).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        stems = [self._lower(w[:-1] if w[-1:] in self.marks else w) for w in words]
+        plain = list({s for s in stems if s and self._plain(s)})
+        known: dict[str, bytes] = {"": b""}
+        for k in range(0, len(plain), _JOINED):
+            part = plain[k : k + _JOINED]
+            known |= zip(part, self._together(part))
+        return [(known[s] + self.marks.get(w[-1:], b"")) if s in known and (s or not w) else self._one(w) for s, w in zip(stems, words)]
+
+    def encode(self, texts: pa.StringArray) -> Iterator[memoryview]:
+        # A-Z may go first, as the vocabulary has lower case only, unless a mark could join them
+        marked = pc.match_substring_regex(texts, "[\u0300-\u036f]")
+        return self.table.encode(pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts))))
 
 
 @functools.cache
 def _word_ids(path: str) -> WordIds:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordIds(path)
 
@@ -81,19 +102,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: in
     kind = dict(docs.dtypes)[id_col]
     end, width = np.array([end_id], "<u4").tobytes(), 4 * max_len
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, start, total, ids = [], [], [], []
-        for k, encoded in enumerate(_word_ids(tokenizer_path).encode(column_bytes(batch, 1))):
-            encoded += end
-            cuts = range(0, len(encoded), width)
-            row += [k] * len(cuts)
-            start += [c // 4 for c in cuts]
-            total += [len(encoded) // 4] * len(cuts)
-            ids += [encoded[c : c + width] for c in cuts]
-        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, 1):
+            row, start, total, ids = [], [], [], []
+            for k, data in enumerate(_word_ids(tokenizer_path).encode(batch.column(1))):
+                encoded = bytes(data) + end
+                cuts = range(0, len(encoded), width)
+                row += [k] * len(cuts)
+                start += [c // 4 for c in cuts]
+                total += [len(encoded) // 4] * len(cuts)
+                ids += [encoded[c : c + width] for c in cuts]
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
+
+    small_batches(docs.sparkSession)
+    doc_id, text = named([id_col, text_col])
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 Pattern = tuple[tuple[int, int], ...]
