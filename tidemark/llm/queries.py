@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, quality, simhash, urlfilter, vectors, warc
+from tidemark.llm import chat, packing, pii, quality, simhash, urlfilter, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 RULES = [
     urlfilter.Rule("block", "com", "/en/"),
     urlfilter.Rule("allow", "example.com", "/en/7"),
@@ -82,7 +86,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op5_chat_formatting, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
