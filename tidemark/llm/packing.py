@@ -31,7 +31,7 @@ from tidemark.llm.common import arrow_map, free_name, named, saved, small_batche
 from tidemark.llm.words import WordTable, grouped
 
 #: Words that a Python worker remembers with their ids.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 #: Words encoded by one call.
 _JOINED = 4096
 
@@ -96,13 +96,34 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+class _Numbers:
+    """A task's own number, and the ranks of its rows among its rows of the same length."""
+
+    names = ("_part", "_local")
+
+    def __init__(self, max_len: int):
+        self.part, self.seen = TaskContext.get().partitionId(), np.zeros(max_len + 1, np.int64)
+
+    def of(self, lengths: np.ndarray) -> list[pa.Array]:
+        order = np.argsort(lengths, kind="stable")
+        ordered = lengths[order]
+        new = np.flatnonzero(np.diff(ordered, prepend=-1))
+        ranks = np.empty(len(lengths), np.int64)
+        ranks[order] = np.arange(len(lengths)) - np.repeat(new, np.diff(new, append=len(lengths)))
+        ranks += self.seen[lengths]
+        self.seen += np.bincount(lengths, minlength=len(self.seen))
+        return [pa.array(np.full(len(lengths), self.part, np.int64)), pa.array(ranks)]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, length, doc_tokens, ids)``: each document's ids and the closing id, cut every
-    ``max_len``; ``ids`` are little-endian unsigned 32-bit numbers."""
+    """``(doc_id, start, length, doc_tokens, ids)``: each document's ids and the closing id, cut every ``max_len``;
+    ``ids`` are little-endian unsigned 32-bit numbers. The two columns more that ``pack`` would add, a row's
+    partition and rank there, are taken down in the same pass."""
     kind = dict(docs.dtypes)[id_col]
     end, width = np.array([end_id], "<u4").tobytes(), 4 * max_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(max_len)
         for batch in grouped(batches, 1):
             row, start, total, ids = [], [], [], []
             for k, data in enumerate(_word_ids(tokenizer_path).encode(batch.column(1))):
@@ -113,11 +134,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: in
                 total += [len(encoded) // 4] * len(cuts)
                 ids += [encoded[c : c + width] for c in cuts]
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
+            more = numbers.of(columns[2].to_numpy())
+            yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "start", "length", "doc_tokens", "ids", *numbers.names])
 
     small_batches(docs.sparkSession)
     doc_id, text = named([id_col, text_col])
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, _part long, _local long")
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -198,31 +220,27 @@ def pack(cut: DataFrame, max_len: int = 4096, length_col: str = "length") -> Dat
     lengths, however large, is sorted or gathered anywhere."""
     spark = cut.sparkSession
     small_batches(spark)
-    part, local, base = free_name(cut, "_part"), free_name(cut, "_local"), free_name(cut, "_base")
-    at = cut.columns.index(length_col)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, own = np.zeros(max_len + 1, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
-            lengths = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(lengths, kind="stable")
-            ordered = lengths[order]
-            new = np.flatnonzero(np.diff(ordered, prepend=-1))
-            ranks = np.empty(len(lengths), np.int64)
-            ranks[order] = np.arange(len(lengths)) - np.repeat(new, np.diff(new, append=len(lengths)))
-            ranks += seen[lengths]
-            seen += np.bincount(lengths, minlength=max_len + 1)
-            more = [pa.array(np.full(len(lengths), own, np.int64)), pa.array(ranks)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, part, local])
-
-    longs = [T.StructField(c, T.LongType()) for c in (part, local)]
-    numbered = saved(cut.mapInArrow(number, T.StructType([*cut.schema.fields, *longs])), "pieces")
+    part, local = _Numbers.names
+    if part not in cut.columns:
+        at = cut.columns.index(length_col)
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = _Numbers(max_len)
+            for batch in batches:
+                more = numbers.of(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, part, local])
+
+        longs = [T.StructField(c, T.LongType()) for c in (part, local)]
+        cut = cut.mapInArrow(number, T.StructType([*cut.schema.fields, *longs]))
+    numbered = saved(cut, "pieces")
+    own = [c for c in cut.columns if c not in (part, local)]
+    at, base = own.index(length_col), free_name(cut, "_base")
     counts = numbered.groupBy(part, length_col).agg(F.count("*").alias("n"))
     histogram = dict(numbered.groupBy(length_col).count().collect())  # at most max_len rows
     slots = spark.sparkContext.broadcast(Slots(patterns(histogram, max_len)))  # bounded by max_len
     before = Window.partitionBy(length_col).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(part, length_col, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
-    ranked = numbered.join(bases, [part, length_col]).select(*cut.columns, (F.col(base) + F.col(local)).alias(local))
+    ranked = numbered.join(bases, [part, length_col]).select(*named(own), (F.col(base) + F.col(local)).alias(local))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         lengths, ranks = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (at, batch.num_columns - 1))
@@ -233,4 +251,4 @@ def pack(cut: DataFrame, max_len: int = 4096, length_col: str = "length") -> Dat
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     longs = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]
-    return arrow_map(ranked, place, T.StructType([*cut.schema.fields, *longs]))
+    return arrow_map(ranked, place, T.StructType([*[cut.schema[c] for c in own], *longs]))

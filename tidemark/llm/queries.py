@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, pii, quality, simhash, urlfilter, vectors, warc
+from tidemark.llm import chat, packing, pii, quality, simhash, spm, urlfilter, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +47,22 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())
-    return packing.pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return packing.pack(cut.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32"))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it again."""
+    import public_tokenizers
+
+    path, docs = public_tokenizers.path("piece_bpe_32k.model"), table(spark, sf_dir, "documents")
+    both = spm.encode_and_decode(docs, path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_decoded"), (F.col("text") == F.col("decoded")).alias("round_trip"))
+
+
 RULES = [
     urlfilter.Rule("block", "com", "/en/"),
     urlfilter.Rule("allow", "example.com", "/en/7"),
@@ -86,7 +95,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op5_chat_formatting, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op5_chat_formatting, op6_sentencepiece, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_map, named, small_batches
 from tidemark.llm.words import WordTable, grouped
@@ -80,6 +81,7 @@ class Model:
         self.all_keys, self.all_ids = self.hash[every][order], every[order]
         if (self.all_keys[1:] == self.all_keys[:-1]).any():
             raise ValueError("two pieces have the same hash")
+        self.inside = np.unique([ord(a) << 21 | ord(b) for t in self.ids for a, b in zip(t, t[1:])])
         self.decoded = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if special[i] else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.decoded[self.unknown_id] = " ⁇ ".encode()
         self.table = WordTable(self._learn, REMEMBERED)
@@ -235,14 +237,27 @@ class Model:
                 known |= {w: self._bytes_of(p, w) for w, p in zip(part, self.viterbi(part))}
         return [known[u] for u in units]
 
+    def _cut(self, words: list[str]) -> list[list[str]]:
+        """Each word cut where two characters meet that meet in no piece: nothing is ever joined there."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        meet = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.inside, meet), len(self.inside) - 1)
+        borders = np.zeros(len(codes) + 1, bool)
+        borders[1:-1] = self.inside[at] != meet
+        ends = np.cumsum([len(w) for w in words])
+        borders[ends] = borders[0] = True
+        cuts = np.flatnonzero(borders)
+        firsts = np.searchsorted(cuts, np.concatenate(([0], ends))).tolist()
+        text, cuts = "".join(words), cuts.tolist()
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [parts[a:b] for a, b in zip(firsts, firsts[1:])]
+
     def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words that a single space, or the start, stands before. A line break is a unit's border, too: the
-        model hasn't got it."""
-        cut = [(MARK + w).split("\n") if "\n" not in self.ids else [MARK + w] for w in words]
+        """Ids of words that a single space, or the start, stands before."""
+        cut = self._cut([MARK + w for w in words])
         parts = list({p for c in cut for p in c})
         known = dict(zip(parts, self.encode_units(parts)))
-        line_break = np.array([self.byte_ids.get(10, self.unknown_id)], "<u4").tobytes()
-        return [line_break.join(known[p] for p in c) for c in cut]
+        return [b"".join([known[p] for p in c]) for c in cut]
 
     def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -269,22 +284,33 @@ def model(path: str, kind: str) -> Model:
 
 def encode(docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: ``ids`` are little-endian unsigned 32-bit numbers."""
+    return _mapped(docs, model_path, kind, id_col, text_col, False).drop("decoded", "text")
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, ids, decoded)``, a null text as an empty one."""
+    return _mapped(docs, model_path, kind, id_col, text_col, True)
+
 
+def _mapped(docs: DataFrame, model_path: str, kind: str, id_col: str, text_col: str, decoding: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(model_path, kind)
         for batch in grouped(batches, 1):
-            ids = pa.array(list(model(model_path, kind).encode(batch.column(1))), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            ids = list(own.encode(batch.column(1)))
+            texts = [batch.column(1), pa.array([own.decode(d) for d in ids], pa.string())] if decoding else [pa.nulls(len(ids), pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts[0], pa.array(ids, pa.binary()), texts[1]], ["doc_id", "text", "ids", "decoded"])
 
     small_batches(docs.sparkSession)
     doc_id, text = named([id_col, text_col])
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids binary")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, text string, ids binary, decoded string")
 
 
-def decode(encoded: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
-    """``encoded`` with the ``text`` of its ``ids``, which come last."""
+def decode(encoded: DataFrame, model_path: str, kind: str = "bpe", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``encoded`` with the text of its ids, null ids as none."""
+    at = encoded.columns.index(ids_col)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([model(model_path, kind).decode(d or b"") for d in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
+        texts = pa.array([model(model_path, kind).decode(d or b"") for d in batch.column(at).to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out_col])
 
-    return arrow_map(encoded, make, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", text string")
+    return arrow_map(encoded, make, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

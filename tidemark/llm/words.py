@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text whose words are told apart at once.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 
 def grouped(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
