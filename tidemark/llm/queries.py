@@ -83,7 +83,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("code")[0]).alias("fingerprint"), "component_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

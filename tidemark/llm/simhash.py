@@ -7,6 +7,14 @@ within a small radius in one of them. One side enumerates the Hamming ball of th
 segment value, the other is a table keyed by segment value; their join fetches the matches, and the
 complete distance is verified in the join condition. Components of the links come last.
 
+Near copies by the thousand would still give all their pairs. So links that need no ball come first (those
+within ``segments - 1`` bits agree in a segment), and the balls then look for links between the components
+of those alone.
+
+One fingerprint tells documents apart to a few bits only. With ``count`` fingerprints, a pair within
+``max_distance`` in any one of them is a link if it is within ``max_total`` in all together; documents that
+agree in one fingerprint are linked, and the least row stands for them when totals are taken.
+
 Defined results: a null or white text has fingerprint zero and links like any other; repeated rows each
 keep a row; a null id is carried along and never becomes a component id while another id is reachable;
 columns other than the id and the text are not read. An empty table gives an empty result.
@@ -14,6 +22,7 @@ columns other than the id and the text are not read. An empty table gives an emp
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -40,12 +49,17 @@ def _set_bits(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The SimHash of one UTF-8 text, as a signed 64-bit number."""
+def _majority(hashes: np.ndarray) -> int:
+    return int(np.packbits(2 * _set_bits(hashes) > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes, shingle: int, count: int = 1) -> list[int]:
+    """The SimHashes of one UTF-8 text, as signed 64-bit numbers: of the shingles' XXH64 with seed 42, then of
+    hashes mixed from it."""
     # bytes.split() and bytes.lower() know ASCII only: exactly \x20 and \x09-\x0D, exactly A-Z
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * count
     line = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(line, 42)]
@@ -54,24 +68,33 @@ def fingerprint(text: bytes, shingle: int) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
         hashes = [xxhash.xxh64_intdigest(line[s:e], 42) for s, e in spans]
-    majority = 2 * _set_bits(np.array(hashes, "<u8")) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view("<i8")[0])
+    first = np.array(hashes, "<u8")
+    return [_majority(first)] + [_majority(_mixed(first, k)) for k in range(1, count)]
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes from these: a multiplicative mix with a constant of its own for each ``k``."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(keep, fp, row)`` for every row of ``docs``: the named columns as one struct, the fingerprint, and a
-    number of its own for the row."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 4, count: int = 1) -> DataFrame:
+    """``(keep, code, row)`` for every row of ``docs``: the named columns as one struct, the array of fingerprints,
+    and a number of its own for the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0]
         for batch in batches:
-            fps = pa.array([fingerprint(t, shingle) for t in column_bytes(batch, 1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps, row_numbers(seen, batch.num_rows)], ["keep", "fp", "row"])
+            codes = pa.array([fingerprint(t, shingle, count) for t in column_bytes(batch, 1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes, row_numbers(seen, batch.num_rows)], ["keep", "code", "row"])
 
     small_batches(docs.sparkSession)
     given = docs.select(F.struct(*named(keep)).alias("keep"), *[c.alias("text") for c in named([text_col])])
-    longs = [T.StructField(c, T.LongType()) for c in ("fp", "row")]
-    return given.mapInArrow(run, T.StructType([given.schema["keep"], *longs]))
+    more = [T.StructField("code", T.ArrayType(T.LongType())), T.StructField("row", T.LongType())]
+    return given.mapInArrow(run, T.StructType([given.schema["keep"], *more]))
 
 
 def _signed(x: int) -> int:
@@ -101,54 +124,80 @@ def _rows(points: list[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("seg"), F.lit(_signed(c)).alias("cover"), F.lit(_signed(f)).alias("flip"), F.lit(_signed(f & -f)).alias("lowest")) for k, c, f in points])
 
 
-def links(distinct_fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """All pairs ``(a, b)`` of the distinct fingerprints ``fp`` that differ in 1 to ``max_distance`` bits, each once.
+def links(values: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """All pairs ``(a, b)`` of the different fingerprints in ``values(fp, part)`` that differ in 1 to
+    ``max_distance`` bits and in ``part``, each once.
 
     Of two values that differ in a flip, exactly one has a zero at the flip's lowest bit; only that one
     probes, which halves the balls. A pair that several segments would find is kept by the first alone."""
     plan = segment_plan(max_distance, segments)
-    table = distinct_fps.select("fp", F.explode(_rows([(k, c, 0) for k, (c, _) in enumerate(plan)])).alias("s")).select("s.seg", F.col("fp").bitwiseAND(F.col("s.cover")).alias("key"), F.col("fp").alias("b"))
-    probes = (
-        distinct_fps.select("fp", F.explode(_rows(_balls(plan))).alias("s"))
-        .where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0)
-        .select("s.seg", F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover")).alias("key"), F.col("fp").alias("a"), (F.col("s.flip") == 0).alias("same"))
-    )
+    table = values.select("fp", "part", F.explode(_rows([(k, c, 0) for k, (c, _) in enumerate(plan)])).alias("s"))
+    table = table.select("s.seg", F.col("fp").bitwiseAND(F.col("s.cover")).alias("key"), F.col("fp").alias("b"), F.col("part").alias("of_b"))
+    probes = values.select("fp", "part", F.explode(_rows(_balls(plan))).alias("s")).where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0)
+    key = F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover"))
+    probes = probes.select("s.seg", key.alias("key"), F.col("fp").alias("a"), F.col("part").alias("of_a"), (F.col("s.flip") == 0).alias("same"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    earlier = F.lit(True)
+    first = F.lit(True)
     for k, (cover, radius) in enumerate(plan):
-        earlier = earlier & ((F.col("seg") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(cover)))) > radius))
+        first = first & ((F.col("p.seg") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(cover)))) > radius))
+    meet = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key"))
+    linked = (F.col("of_a") != F.col("of_b")) & (F.bit_count(apart) <= max_distance) & (~F.col("same") | (F.col("a") < F.col("b")))
     # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
-    joined = probes.alias("p").hint("merge").join(
-        table.alias("t"),
-        (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key")) & (F.bit_count(apart) <= max_distance) & (~F.col("same") | (F.col("a") < F.col("b"))),
-    )
-    return joined.select(F.col("p.seg").alias("seg"), "a", "b").where(earlier).select("a", "b")
-
-
-def groups(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """``(fp, component, component_id)`` for each different ``fp`` of ``fps(fp, doc_id)``."""
-    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    linked = components(links(distinct.select("fp"), max_distance, segments)).withColumnRenamed("node", "fp")
-    labelled = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return probes.alias("p").hint("merge").join(table.alias("t"), meet & linked & first).select("a", "b")
+
+
+def _edges(nodes: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None) -> DataFrame:
+    """Links ``(a, b)`` of ``nodes(node, code, part)`` by row number, between different parts."""
+    found = []
+    for q in range(count):
+        fp = F.col("code")[q]
+        if count == 1:
+            values = nodes.select(fp.alias("fp"), "part", "node", "code")
+        else:
+            leads = nodes.groupBy(fp.alias("fp")).agg(F.min("node").alias("node"))
+            values = saved(leads.join(nodes, "node").select("fp", "part", "node", "code"), "simhash-values")
+            found.append(nodes.select(fp.alias("fp"), F.col("node").alias("a"), "part").join(values.select("fp", F.col("node").alias("b"), F.col("part").alias("of_b")), "fp").where("a <> b and part <> of_b").select("a", "b"))
+        pairs = links(values, max_distance, segments)
+        ends = pairs.join(values.select(F.col("fp").alias("a"), F.col("node").alias("node_a"), F.col("code").alias("code_a")), "a").join(values.select(F.col("fp").alias("b"), F.col("node").alias("node_b"), F.col("code").alias("code_b")), "b")
+        if max_total is not None:
+            total = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+            ends = ends.where(total <= max_total)
+        found.append(saved(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "simhash-links"))
+    return functools.reduce(DataFrame.union, found)
+
+
+def groups(rows: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None) -> DataFrame:
+    """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``."""
+    nodes = saved(rows.groupBy("code").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "simhash-distinct")
+    loose = nodes.select("node", "code", F.col("node").alias("part"))
+    close = components(_edges(loose, count, min(max_distance, segments - 1), segments, max_total))
+    forest = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if max_distance >= segments:
+        parted = saved(nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part")), "simhash-parts")
+        close = components(forest.union(_edges(parted, count, max_distance, segments, max_total)))
+    labelled = nodes.join(close, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return labelled.join(least, "component").select("fp", "component", "component_id")
+    return labelled.join(least, "component").select("code", "component", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` and ``component_id``, the least id that links reach."""
-    fps = saved(fingerprints(docs, [id_col], text_col, shingle), "simhash").select(F.col("keep").getField(id_col).alias("doc_id"), "fp")
-    return fps.join(groups(fps, max_distance, segments), "fp", "left").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3, count: int = 1, max_total: int | None = None) -> DataFrame:
+    """One row per document: ``doc_id``, ``code`` (its fingerprints) and ``component_id``, the least id that links
+    reach."""
+    held = saved(fingerprints(docs, [id_col], text_col, shingle, count), "simhash")
+    rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
+    return rows.join(groups(rows, count, max_distance, segments, max_total), "code", "left").select("doc_id", "code", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3, count: int = 1, max_total: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: that with the least id, of equal ids the first saved."""
-    held = saved(fingerprints(docs, docs.columns, text_col, shingle), "simhash")
-    fps = held.select(F.col("keep").getField(id_col).alias("doc_id"), "fp", "row")
-    grouped = fps.join(groups(fps, max_distance, segments), "fp", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = grouped.groupBy("component").agg(first.alias("first")).select("first.row")
-    return held.join(kept, "row", "left_semi").select("keep.*")
+    held = saved(fingerprints(docs, docs.columns, text_col, shingle, count), "simhash")
+    rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
+    grouped = rows.join(groups(rows, count, max_distance, segments, max_total), "code", "left")
+    # the least id first, then the least row among those that have it; both are summed up before a shuffle
+    least = grouped.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
+    return held.join(least.select("row"), "row", "left_semi").select("keep.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:
+    """16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
