@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, pii, quality, simhash, spm, urlfilter, vectors, warc
+from tidemark.llm import chat, html, packing, pii, quality, simhash, spm, urlfilter, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     """The production vocabulary, where the public tokenizers' package keeps it."""
     import public_tokenizers
@@ -95,7 +99,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_pii, op4_packing, op5_chat_formatting, op6_sentencepiece, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_html_text, op3_pii, op4_packing, op5_chat_formatting, op6_sentencepiece, op7_url_filter, op8_simhash_near_dedup, op9_quality, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
