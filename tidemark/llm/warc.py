@@ -205,12 +205,13 @@ def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Each record with ``payload_bytes``, ``payload_digest`` and ``refers_to`` (a page id): a revisit takes them from
-    the response it refers to."""
-    answers = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.first("bytes").alias("_bytes"), F.first("read_digest").alias("_digest"), F.first("page_id").alias("refers_to"))
-    found = records.join(answers, "refers_to_record", "left")
-    own = F.col("record_type") == "response"
-    return found.select("*", F.when(own, F.col("bytes")).otherwise(F.col("_bytes")).alias("payload_bytes"), F.when(own, F.col("read_digest")).otherwise(F.col("_digest")).alias("payload_digest")).drop("_bytes", "_digest")
+    """Each of the records that ``read`` gave, with ``payload_bytes``, ``payload_digest`` and ``refers_to`` (a page id): a
+    revisit takes them from the response it refers to. Responses pass by the join."""
+    known = saved(records.drop("payload"), "records")
+    own = known.where("record_type = 'response'")
+    answers = own.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max("bytes").alias("payload_bytes"), F.max("read_digest").alias("payload_digest"), F.max("page_id").alias("refers_to"))
+    again = known.where("record_type <> 'response'").join(answers, "refers_to_record", "left")
+    return own.select("*", F.col("bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), F.lit(None).cast("string").alias("refers_to")).unionByName(again)
 
 
 def archive_folder(spark: SparkSession) -> str:
