@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, html, packing, pii, quality, simhash, spm, urlfilter, vectors, warc
+from tidemark.llm import chat, html, packing, pii, quality, simhash, spm, sql, urlfilter, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +91,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "quality.*")
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "quality.*").withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +103,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": sql.warc(),
+        "op5_chat_formatting": sql.chat(chat.STRETCH),
+        "op7_url_filter": sql.url_filter(RULES, LISTED),
+        "op9_quality": sql.quality(),
+        "op10_embedding_near_dedup": sql.vectors(),
+    }
