@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch: keeps a batch of long texts small beside the executor's memory.
 BATCH_ROWS = 512
@@ -56,16 +57,23 @@ def row_numbers(seen: list[int], rows: int) -> pa.Array:
     return pa.array(range(first, first + rows), pa.int64())
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` over small batches; ``make`` turns a batch into one batch or several."""
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over small batches, for columns of any name: Spark's own takes a dot in a name for a field's."""
     small_batches(df.sparkSession)
+    names = df.columns
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(out)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(batch)
-            yield from [made] if isinstance(made, pa.RecordBatch) else made
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, plain).toDF(*out.names)
+
+
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """``mapped`` with a function of one batch."""
+    return mapped(df, lambda batches: map(make, batches), schema)
 
 
 def column_bytes(batch: pa.RecordBatch, at: int) -> list[bytes]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, free_name, named, saved, small_batches
+from tidemark.llm.common import arrow_map, free_name, mapped, named, saved
 from tidemark.llm.words import WordTable, grouped
 
 #: Words that a Python worker remembers with their ids.
@@ -137,9 +137,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: in
             more = numbers.of(columns[2].to_numpy())
             yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "start", "length", "doc_tokens", "ids", *numbers.names])
 
-    small_batches(docs.sparkSession)
     doc_id, text = named([id_col, text_col])
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, _part long, _local long")
+    return mapped(docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, _part long, _local long")
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -219,7 +218,6 @@ def pack(cut: DataFrame, max_len: int = 4096, length_col: str = "length") -> Dat
     length; ranks over all rows follow from the counts by partition and length. So no group of equal
     lengths, however large, is sorted or gathered anywhere."""
     spark = cut.sparkSession
-    small_batches(spark)
     part, local = _Numbers.names
     if part not in cut.columns:
         at = cut.columns.index(length_col)
@@ -231,7 +229,7 @@ def pack(cut: DataFrame, max_len: int = 4096, length_col: str = "length") -> Dat
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, part, local])
 
         longs = [T.StructField(c, T.LongType()) for c in (part, local)]
-        cut = cut.mapInArrow(number, T.StructType([*cut.schema.fields, *longs]))
+        cut = mapped(cut, number, T.StructType([*cut.schema.fields, *longs]))
     numbered = saved(cut, "pieces")
     own = [c for c in cut.columns if c not in (part, local)]
     at, base = own.index(length_col), free_name(cut, "_base")

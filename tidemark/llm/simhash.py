@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column_bytes, named, row_numbers, saved, small_batches
+from tidemark.llm.common import column_bytes, mapped, named, row_numbers, saved
 from tidemark.llm.components import components
 
 #: Hashes whose bits are counted at once: bounds memory on a very long text.
@@ -91,10 +91,9 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
             codes = pa.array([fingerprint(t, shingle, count) for t in column_bytes(batch, 1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), codes, row_numbers(seen, batch.num_rows)], ["keep", "code", "row"])
 
-    small_batches(docs.sparkSession)
     given = docs.select(F.struct(*named(keep)).alias("keep"), *[c.alias("text") for c in named([text_col])])
     more = [T.StructField("code", T.ArrayType(T.LongType())), T.StructField("row", T.LongType())]
-    return given.mapInArrow(run, T.StructType([given.schema["keep"], *more]))
+    return mapped(given, run, T.StructType([given.schema["keep"], *more]))
 
 
 def _signed(x: int) -> int:

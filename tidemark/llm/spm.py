@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, named, small_batches
+from tidemark.llm.common import arrow_map, mapped, named
 from tidemark.llm.words import WordTable, grouped
 
 MARK = "▁"
@@ -300,9 +300,8 @@ def _mapped(docs: DataFrame, model_path: str, kind: str, id_col: str, text_col:
             texts = [batch.column(1), pa.array([own.decode(d) for d in ids], pa.string())] if decoding else [pa.nulls(len(ids), pa.string())] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), texts[0], pa.array(ids, pa.binary()), texts[1]], ["doc_id", "text", "ids", "decoded"])
 
-    small_batches(docs.sparkSession)
     doc_id, text = named([id_col, text_col])
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, text string, ids binary, decoded string")
+    return mapped(docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), run, f"doc_id {dict(docs.dtypes)[id_col]}, text string, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, model_path: str, kind: str = "bpe", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

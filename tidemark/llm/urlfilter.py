@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, free_name, named, saved, small_batches
+from tidemark.llm.common import arrow_map, free_name, mapped, named, saved
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -141,8 +141,7 @@ def _filter(keys: DataFrame, n: int, level: int, bits_per_key: int, hashes: int)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    small_batches(keys.sparkSession)
-    found = keys.select("h1", "h2").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = mapped(keys.select("h1", "h2"), words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros((n_bits + 63) // 64, np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Bloom(level, n_bits, hashes, out)

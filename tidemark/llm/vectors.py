@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import named, row_numbers, saved, small_batches
+from tidemark.llm.common import mapped, named, row_numbers, saved
 from tidemark.llm.components import components
 
 #: Rows of a chunk, rows compared with a chunk at once, and pairs verified at once: these bound memory.
@@ -113,7 +113,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: ``vec_id``, ``n_links`` (other vectors with at least this cosine), ``component_id`` (the least
     id reachable, its own included) and ``kept``."""
     spark = vectors.sparkSession
-    small_batches(spark)
     vec_id, value = named([id_col, vector_col])
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | ~F.exists("v", lambda c: c != 0)
     rows = vectors.select(vec_id.alias("vec_id"), value.cast("array<double>").alias("v"))
@@ -126,7 +125,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, row_numbers(seen, b.num_rows)], [*b.schema.names, "node"])
 
-    nodes = saved(different.mapInArrow(number, "k1 long, k2 long, v array<double>, copies long, least long, node long".replace("least long", f"least {dict(different.dtypes)['least']}")), "vectors")
+    nodes = saved(mapped(different, number, "k1 long, k2 long, v array<double>, copies long, least long, node long".replace("least long", f"least {dict(different.dtypes)['least']}")), "vectors")
     # one rotation for each vector length: a table of embeddings has one or few
     plans = {r[0]: Blocks(r[0], cosine, block_dims) for r in nodes.select(F.size("v")).distinct().collect()}
 
@@ -139,7 +138,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(cells.size, dim)), pa.array(np.tile(np.arange(n), len(at))), pa.array(cells.ravel())], ["dim", "block", "cell"])
 
     # a unit vector's coordinates are within [-1, 1]: the cells are bounded by the radius, not by the rows
-    sizes = nodes.select("v").mapInArrow(place, "dim long, block long, cell long").groupBy("dim", "block", "cell").count().orderBy("dim", "block", "cell").collect()
+    sizes = mapped(nodes.select("v"), place, "dim long, block long, cell long").groupBy("dim", "block", "cell").count().orderBy("dim", "block", "cell").collect()
     first_chunk: dict[tuple[int, int, int], tuple[int, int]] = {}
     chunks: list[tuple[int, int]] = []  # length and block of each chunk
     for dim, block, cell, n in sizes:
@@ -197,7 +196,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         some = n > 0
         return pa.table({"node": node[some], "n": n[some], "low": low_node[some]})
 
-    dealt = nodes.select("v", "copies", "node").mapInArrow(deal, "unit long, chunk long, v array<double>, copies long, node long")
+    dealt = mapped(nodes.select("v", "copies", "node"), deal, "unit long, chunk long, v array<double>, copies long, node long")
     found = saved(dealt.groupBy("unit").applyInArrow(compare, "node long, n long, low long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     linked = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))

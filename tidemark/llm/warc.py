@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import named, saved, scratch_path, small_batches
+from tidemark.llm.common import mapped, named, saved, scratch_path
 
 #: A task begins a new archive when one has so many bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -90,7 +90,6 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     large = F.octet_length("payload") >= min_dedup_bytes
     firsts = given.where(large).groupBy("sha").agg(F.min("page_id").alias("first"))
     planned = given.join(firsts, "sha", "left").select("page_id", "url", "payload", "sha", "first", (large & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
-    small_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = open_folder(folder)
@@ -115,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["archive", "records"])
 
-    return saved(planned.mapInArrow(write, "archive string, records long"), "archives")
+    return saved(mapped(planned, write, "archive string, records long"), "archives")
 
 
 def _members(source: Any, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
@@ -136,7 +135,6 @@ def _members(source: Any, chunk: int = 1 << 20) -> Iterator[tuple[int, int, byte
 
 def index(spark: SparkSession, archives: DataFrame) -> DataFrame:
     """A row for every record of ``archives(archive)``, saved as the index."""
-    small_batches(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in INDEX.split(", ")])
@@ -158,12 +156,11 @@ def index(spark: SparkSession, archives: DataFrame) -> DataFrame:
 
     files = archives.select("archive")
     spread = files.repartition(max(1, min(files.count(), 100_000)), "archive")
-    return saved(spread.mapInArrow(scan, INDEX), "warc-index")
+    return saved(mapped(spread, scan, INDEX), "warc-index")
 
 
 def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the ``selected`` index rows: the index columns, ``payload`` (if asked for), its bytes and digest."""
-    small_batches(selected.sparkSession)
     names = [c.split()[0] for c in INDEX.split(", ")]
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
     dealt = selected.select(*names).repartition("archive", stretch).sortWithinPartitions("archive", "offset")
@@ -201,7 +198,7 @@ def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    return dealt.mapInArrow(fetch, INDEX + ", payload binary" * payloads + ", bytes long, read_digest string")
+    return mapped(dealt, fetch, INDEX + ", payload binary" * payloads + ", bytes long, read_digest string")
 
 
 def resolved(records: DataFrame) -> DataFrame:
