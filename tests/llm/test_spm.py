@@ -63,7 +63,7 @@ def test_bpe_borders_against_merges():
     """A border stands if, and only if, the merges of the two pieces' text leave just the two."""
     model = spm.Model(PATH)
     rng = random.Random(1)
-    usable = model.key_ids[np.argsort(model.key_ids)][:6000].tolist()
+    usable = np.sort(model.usable.ids)[:6000].tolist()
     pairs = [(rng.choice(usable), rng.choice(usable)) for _ in range(3000)]
     pairs = [(a, b) for a, b in pairs if not model.text[b].startswith("▁")]
     got = model.stands(*map(np.array, zip(*pairs)))

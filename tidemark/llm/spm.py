@@ -39,10 +39,33 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of equally long words that advance at once.
 _STEP_CHARS = 1 << 17
-REMEMBERED = 800_000
+#: Words, and parts of words, that a Python worker remembers with their ids.
+REMEMBERED = 500_000
 _UNKNOWN = -1
 
 
+class _Keys:
+    """Sorted hashes and what they stand for. A bit for the first 20 bits of each hash rules most others out before the
+    search."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.keys, self.ids = hashes[order], ids[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have the same hash")
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The piece with each hash, or -2."""
+        out = np.full(wanted.shape, -2)
+        at = np.nonzero(self.seen[(wanted >> np.uint64(44)).astype(np.int64)])
+        some = wanted[at]
+        near = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[at] = np.where(self.keys[near] == some, self.ids[near], -2)
+        return out
+
+
 class Model:
     """Pieces with ids and scores. ``kind`` is ``bpe`` or ``unigram``."""
 
@@ -74,17 +97,14 @@ class Model:
         usable = np.array(sorted(self.ids.values()))
         if kind == "bpe":
             usable = self._split_tables(usable)
-        order = np.argsort(self.hash[usable], kind="stable")
-        self.keys, self.key_ids = self.hash[usable][order], usable[order]
+        self.usable = _Keys(self.hash[usable], usable)
         every = np.array(sorted(self.ids.values()))
-        order = np.argsort(self.hash[every], kind="stable")
-        self.all_keys, self.all_ids = self.hash[every][order], every[order]
-        if (self.all_keys[1:] == self.all_keys[:-1]).any():
-            raise ValueError("two pieces have the same hash")
+        self.every = _Keys(self.hash[every], every)
         self.inside = np.unique([ord(a) << 21 | ord(b) for t in self.ids for a, b in zip(t, t[1:])])
         self.decoded = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if special[i] else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.decoded[self.unknown_id] = " ⁇ ".encode()
         self.table = WordTable(self._learn, REMEMBERED)
+        self.parts = WordTable(self.encode_units, REMEMBERED)
 
     def _hash(self, text: str) -> np.uint64:
         out = 0
@@ -130,11 +150,6 @@ class Model:
                 raise ValueError("a piece is merged before its parts")
         return made_array
 
-    def _find(self, keys: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -2."""
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, ids[at], -2)
-
     def stands(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the border between pieces ``a`` and ``b`` would never be merged."""
         ok = np.ones(len(a), bool)
@@ -146,7 +161,7 @@ class Model:
             length = self.length[b]
             with np.errstate(over="ignore"):
                 joined = self.hash[a] * self.power[np.minimum(length, self.longest)] + self.hash[b]
-            whole = np.where(self.length[a] + length <= self.longest, self._find(self.all_keys, self.all_ids, joined), -2)
+            whole = np.where(self.length[a] + length <= self.longest, self.every.find(joined), -2)
             rank = np.where(whole >= 0, self.score[whole], -np.inf)
             merged = (whole >= 0) & ((rank > limit) | (tie & (rank == limit)))
             ok[open_[merged]] = False
@@ -176,9 +191,9 @@ class Model:
             starts = np.arange(end - 1, end - reach - 1, -1)  # piece lengths 1, 2, ...
             with np.errstate(over="ignore"):
                 wanted = prefix[:, end : end + 1] - prefix[:, starts] * self.power[1 : reach + 1]
-            piece = self._find(self.keys, self.key_ids, wanted)
+            piece = self.usable.find(wanted)
             before = best[:, starts]
-            unknown = (piece[:, 0] == -2) & (self._find(self.all_keys, self.all_ids, wanted[:, 0]) == -2)
+            unknown = (piece[:, 0] == -2) & (self.every.find(wanted[:, 0]) == -2)
             if self.kind == "bpe":
                 score = np.where((piece >= 0) & (before == 0), 0.0, -np.inf)
                 previous = last[:, starts]
@@ -256,7 +271,7 @@ class Model:
         """Ids of words that a single space, or the start, stands before."""
         cut = self._cut([MARK + w for w in words])
         parts = list({p for c in cut for p in c})
-        known = dict(zip(parts, self.encode_units(parts)))
+        known = dict(zip(parts, self.parts.look_up(parts)))
         return [b"".join([known[p] for p in c]) for c in cut]
 
     def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
