@@ -31,7 +31,7 @@ from tidemark.llm.common import arrow_map, free_name, mapped, named, saved
 from tidemark.llm.words import WordTable, grouped
 
 #: Words that a Python worker remembers with their ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Words encoded by one call.
 _JOINED = 4096
 
