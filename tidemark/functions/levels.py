@@ -39,7 +39,7 @@ def nearest_rank(values: Column, share: float = 0.95) -> Column:
 
 def playback_floor(p95: Column) -> Column:
     """The lower end of the playback range: five times the 95th percentile, within -55 and -45 dB."""
-    return F.coalesce(F.least(F.lit(-45.0), F.greatest(F.lit(-55.0), p95 * 5)), F.lit(-45.0))
+    return F.when(p95.isNull(), F.lit(-45.0)).otherwise(F.least(F.lit(-45.0), F.greatest(F.lit(-55.0), p95 * 5)))
 
 
 def bipolar_scale(p95: Column) -> Column:

@@ -49,7 +49,8 @@ def normalize_spans(df: DataFrame, policy: str | SpanPolicy, start: str = "start
     point = s + F.lit(p.point_ms).cast(df.schema[start].dataType)
     e = F.coalesce(F.col(end), point)
     if p.on_swapped == "swap":
-        s, e = F.least(s, e), F.greatest(s, e)
+        # without a start there is no span, whatever the end
+        s, e = F.when(s.isNotNull(), F.least(s, e)), F.greatest(s, e)
     elif p.on_swapped == "point":
         e = F.when(e < s, point).otherwise(e)
     if p.point_if_equal:

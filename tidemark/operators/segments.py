@@ -49,7 +49,7 @@ def voice_runs(frames: DataFrame, keys: list[str], delta_db: float = 6.0, low_de
     runs = runs.agg(F.min("frame_idx").alias("_i"), F.max("frame_idx").alias("_j"), F.max("db").alias("peak"), F.first("threshold").alias("threshold"), F.min("_low_before").alias("_b"), F.max(F.coalesce("_low_after", F.col("_last") + 1)).alias("_a"), F.first("_last").alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_i")
     runs = runs.withColumn("_to", F.least(F.col("_a") - 1, F.col("_j") + extend_frames, F.col("_n")))
-    runs = runs.withColumn("_from", F.greatest(F.col("_b") + 1, F.col("_i") - extend_frames, F.coalesce(F.lag("_to").over(order) + 1, F.lit(0))))
+    runs = runs.withColumn("_from", F.least(F.col("_i"), F.greatest(F.col("_b") + 1, F.col("_i") - extend_frames, F.coalesce(F.lag("_to").over(order) + 1, F.lit(0)))))
     times = frames.select(*keys, "frame_idx", "t_ms")
     first, last = times.withColumnsRenamed({"frame_idx": "_from", "t_ms": "_t0"}), times.withColumnsRenamed({"frame_idx": "_to", "t_ms": "_t1"})
     placed = runs.join(first, [*keys, "_from"]).join(last, [*keys, "_to"])
