@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cluster, segments, signal
 from tidemark.operators.intervals import clip, owner_of_points, window_votes
+from tidemark.session import materialized
 
 GRID_MS, MIN_TURN_MS, MAX_SPEAKERS = 100.0, 600.0, 8
 
@@ -25,7 +26,7 @@ def speaker_labels(windows: DataFrame, distance: float, speakers: int | None = N
     windows given to the nearest; or exactly as many as are asked for."""
     if speakers:
         return windows.join(cluster.clustered(windows, "kit", "window_id", "embedding", k=speakers), ["kit", "window_id"])
-    by_distance = windows.join(cluster.clustered(windows, "kit", "window_id", "embedding", distance), ["kit", "window_id"])
+    by_distance = materialized(windows.join(cluster.clustered(windows, "kit", "window_id", "embedding", distance), ["kit", "window_id"]), "labels")
     many = by_distance.groupBy("kit").agg(F.count_distinct("label").alias("n")).where(F.col("n") > MAX_SPEAKERS).select("kit")
     folded = windows.join(many, "kit", "left_semi")
     folded = folded.join(cluster.clustered(folded, "kit", "window_id", "embedding", k=MAX_SPEAKERS), ["kit", "window_id"])
@@ -73,10 +74,10 @@ def diarized(regions: DataFrame, audio: DataFrame, distance: float = 1.0, speake
     """Turns ``(kit, region, start_ms, end_ms, speaker, confidence)`` of ``regions(kit, region, start_ms, end_ms)``."""
     windows = segments.sliding_windows(regions, ["kit"]).withColumn("window_id", F.concat_ws(":", "region", F.lpad(F.col("window").cast("string"), 9, "0")))
     vectors = signal.span_embeddings(windows, audio, "mfcc").dropDuplicates(["kit", "start_ms", "end_ms"])
-    embedded = standardized(windows.join(vectors, ["kit", "start_ms", "end_ms"]), "kit", "embedding")
+    embedded = materialized(standardized(windows.join(vectors, ["kit", "start_ms", "end_ms"]), "kit", "embedding"), "windows")
     labels = speaker_labels(embedded.select("kit", "window_id", "embedding"), distance, speakers).select("kit", "window_id", "label")
     placed = windows.join(labels, ["kit", "window_id"]).select("kit", "region", "start_ms", "end_ms", "label")
-    turns = turns_of_grid(window_votes(grid(regions), placed, ["kit", "region"]))
+    turns = materialized(turns_of_grid(window_votes(grid(regions), placed, ["kit", "region"])), "grid-turns")
     return segments.first_appearance_names(turns, ["kit"], "label").select("kit", "region", "start_ms", "end_ms", "speaker", "confidence")
 
 

@@ -312,7 +312,7 @@ def level_series(audio: DataFrame, bin_ms: int = 50) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame(bin_peaks(*decode_wav(r.content), bin_ms)).assign(kit=r.kit)[["kit", "tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]]
+                yield pd.DataFrame(bin_peaks(*decode_wav(r.content), bin_ms), columns=["tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]).assign(kit=r.kit)[["kit", "tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]]
 
     return audio.select("kit", "content").mapInPandas(run, "kit string, tMs double, avgDb double, peakDb double, minAmp double, maxAmp double")
 

@@ -1,4 +1,4 @@
-"""The candidate pipeline: from recordings to proposed spans."""
+"""The candidate pipeline: from recordings to proposed spans. What a later step uses more than once is written down first."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import nonspeech_reason
 from tidemark.operators import diarize, intervals, merge, segments, signal, stats
+from tidemark.session import materialized
 
 REGION_REJECT, REJECT, WEAK = 0.42, 0.55, 0.68
 SHORT_MS, NOISE_Z = 700, 1.0
@@ -15,10 +16,11 @@ SHORT_MS, NOISE_Z = 700, 1.0
 def speech_regions(audio: DataFrame) -> DataFrame:
     """Loud stretches, without those that hardly sound like speech, nor short ones that sound like a bang beside the recording's
     others. ``region`` numbers them."""
-    level = signal.frames(audio)
-    found = segments.regions(segments.voice_runs(level, ["kit"]), ["kit"]).select("kit", "start_ms", "end_ms", "score")
+    level = materialized(signal.frames(audio), "frames")
+    found = materialized(segments.regions(segments.voice_runs(level, ["kit"]), ["kit"]).select("kit", "start_ms", "end_ms", "score"), "regions")
     scored = found.join(signal.span_speech(found, audio), ["kit", "start_ms", "end_ms"]).where(F.col("speech_score") >= REGION_REJECT)
-    marked = stats.zscores(scored.withColumn("spikiness", 1 - F.col("sustain_ratio")), ["kit"], ["flatness", "zcr", "spikiness"])
+    scored = materialized(scored.withColumn("spikiness", 1 - F.col("sustain_ratio")), "scored")
+    marked = stats.zscores(scored, ["kit"], ["flatness", "zcr", "spikiness"])
     bang = (F.col("end_ms") - F.col("start_ms") <= SHORT_MS) & (F.coalesce("z", F.lit(float("-inf"))) >= NOISE_Z)
     return merge.numbered(marked.where(~bang).select("kit", "start_ms", "end_ms", "score"), ["kit"], ["start_ms", "end_ms"], "region").withColumn("region", F.col("region").cast("long"))
 
@@ -34,15 +36,16 @@ def gated(pieces: DataFrame, audio: DataFrame) -> DataFrame:
 
 def candidates(audio: DataFrame, tags: DataFrame | None = None, speakers: int | None = None) -> DataFrame:
     """Candidate rows of each recording, those that a tag touches left out."""
-    regions = speech_regions(audio)
-    pieces = diarize.split_by_speaker(regions, diarize.diarized(regions.select("kit", "region", "start_ms", "end_ms"), audio, speakers=speakers))
+    regions = materialized(speech_regions(audio), "speech")
+    turns = materialized(diarize.diarized(regions.select("kit", "region", "start_ms", "end_ms"), audio, speakers=speakers), "turns")
+    pieces = materialized(diarize.split_by_speaker(regions, turns), "pieces")
     cut = signal.pause_split(pieces, signal.frames(audio))
     own = pieces.select("kit", F.col("start_ms").alias("parent_start"), "score", "speaker_cluster", "speaker_confidence", F.col("split_by").alias("_split")).dropDuplicates(["kit", "parent_start"])
-    parts = cut.join(own, ["kit", "parent_start"]).withColumn("split_by", F.coalesce("split_by", "_split"))
+    parts = materialized(cut.join(own, ["kit", "parent_start"]).withColumn("split_by", F.coalesce("split_by", "_split")), "parts")
     words = signal.span_parts(parts.select("kit", "start_ms", "end_ms").distinct(), audio)
     fine = words.withColumnRenamed("split_by", "_word").join(parts.select("kit", F.col("start_ms").alias("parent_start"), "score", "speaker_cluster", "speaker_confidence", "split_by", "hard_capped").dropDuplicates(["kit", "parent_start"]), ["kit", "parent_start"])
     fine = fine.withColumns({"split_by": F.coalesce("_word", "split_by"), "flags": F.when(F.col("hard_capped"), F.array(F.lit("hard_capped"))).otherwise(F.array().cast("array<string>"))})
-    kept = gated(fine, audio)
+    kept = gated(materialized(fine, "fine"), audio)
     rows = kept.select(
         "kit", F.sha2(F.concat_ws(":", "kit", "start_ms", "end_ms"), 256).alias("uuid"), F.lit("").alias("label"), F.round("start_ms").cast("long").alias("start_ms"), F.round("end_ms").cast("long").alias("end_ms"),
         F.round("start_ms").cast("long").alias("t_ms"), F.lit("vad_v0").alias("source"), F.lit("provisional").alias("status"), F.round("score", 3).alias("score"), "split_by", "flags", F.round("speech_score", 3).alias("speech_score"),
