@@ -16,6 +16,10 @@ from tidemark.llm.common import free_name, saved
 from tidemark.llm.queries import tokenizer_path
 
 
+#: Near duplicates: their shingles, fingerprints and distances.
+NEAR = {"shingle": 5, "max_distance": 7, "segments": 4, "count": 4, "max_total": 44}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     verdict = free_name(docs, "quality")
@@ -26,10 +30,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id (of repeated rows, one).
 
-    Five-word shingles, and three fingerprints: documents of similarity 0.8 differ in 15 % of all bits on
-    average, but in one fingerprint that scatters widely, so a pair may be found by any of the three and must
-    then agree in 5/6 of the 192 bits."""
-    return simhash.deduplicated(docs, shingle=5, max_distance=7, segments=4, count=3, max_total=32)
+    Five-word shingles, and four fingerprints: documents of similarity 0.8 differ in 15 % of all bits on average,
+    but in one fingerprint that scatters widely, so a pair may be found by any of the four and must then differ
+    in 44 of the 256 bits at most."""
+    return simhash.deduplicated(docs, **NEAR)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_each_stage_acts(stages):
     (_, a, b), (_, _, c), (_, _, d), (_, _, packed) = stages
     kept = [r["doc_id"] for r in quality.judge(a, ["doc_id"]).where("quality.kept").collect()]
     assert sorted(map(str, kept)) == sorted(str(r["doc_id"]) for r in b.collect())
-    want = simhash.deduplicated(b, shingle=5, max_distance=7, segments=4, count=3, max_total=32)
+    want = simhash.deduplicated(b, **corpus_pipeline.NEAR)
     assert sorted(str(r["text"]) for r in want.collect()) == sorted(str(r["text"]) for r in c.collect())
     assert sorted(pii.redacted(r["text"] or "") for r in c.collect()) == sorted(r["text"] or "" for r in d.collect())
     assert all(r["n_chars"] == len(r["text"]) for r in d.collect())

@@ -65,11 +65,11 @@ def test_links_are_complete_and_single(spark, distance, segments):
 
 def test_several_fingerprints(docs, plain_rows):
     """Links: equal in a fingerprint, or near in one and near in all; the least row of a value stands for it."""
-    kept = simhash.deduplicated(docs, shingle=5, max_distance=7, segments=4, count=3, max_total=32)
+    kept = simhash.deduplicated(docs, shingle=5, max_distance=7, segments=4, count=4, max_total=44)
     assert kept.schema.simpleString() == docs.schema.simpleString()
     texts = [r["text"] for r in kept.select("text").collect()]
     assert len(texts) == len(set(texts))
-    codes = {t: simhash.fingerprint((t or "").encode(), 5, 3) for _, t in plain_rows}
+    codes = {t: simhash.fingerprint((t or "").encode(), 5, 4) for _, t in plain_rows}
     alone = [t for t in codes if all(o == t or min((x ^ y).bit_count() if x >= 0 and y >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(codes[t], codes[o])) > 7 for o in codes)]
     assert set(alone) <= set(texts)
 

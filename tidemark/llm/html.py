@@ -23,7 +23,6 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, column_texts, named
 

@@ -203,6 +203,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     labelled = nodes.select("k1", "k2", "copies", "least", "node").join(linked, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of = labelled.join(least, "component").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = keyed.select("vec_id", "k1", "k2").join(of, ["k1", "k2"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    # vectors without a key pass by the join: their nulls would all meet in one task
+    good = keyed.where("v is not null").select("vec_id", "k1", "k2").join(of, ["k1", "k2"]).select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = keyed.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return good.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
