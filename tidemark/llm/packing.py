@@ -31,7 +31,7 @@ from tidemark.llm.common import arrow_map, free_name, mapped, named, saved
 from tidemark.llm.words import WordTable, grouped
 
 #: Words that a Python worker remembers with their ids.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Words encoded by one call.
 _JOINED = 4096
 
@@ -77,7 +77,7 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         stems = [self._lower(w[:-1] if w[-1:] in self.marks else w) for w in words]
-        known: dict[str, bytes] = {"": b""} | {s: self.table.known[s] for s in stems if s in self.table.known}
+        known: dict[str, bytes] = {"": b""} | {s: v for s, v in zip(stems, self.table.find(stems)) if v is not None}
         plain = list({s for s in stems if s not in known and self._plain(s)})
         for k in range(0, len(plain), _JOINED):
             part = plain[k : k + _JOINED]

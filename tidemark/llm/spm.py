@@ -40,7 +40,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of equally long words that advance at once.
 _STEP_CHARS = 1 << 17
 #: Words, and parts of words, that a Python worker remembers with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _UNKNOWN = -1
 
 
