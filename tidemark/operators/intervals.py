@@ -19,6 +19,8 @@ def _dealt(df: DataFrame, start: str, end: str, bucket: int | None, margin: floa
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, bucket: int | None = None, how: str = "inner") -> DataFrame:
     """Pairs of spans with the same keys that share more than a moment. Other column names must differ."""
+    if how not in ("inner", "left"):
+        raise ValueError("use overlap_semi or overlap_anti")
     on = [*keys, "_bucket"] if bucket else keys
     a, b = _dealt(left, ls, le, bucket, 0).alias("a"), _dealt(right, rs, re, bucket, 0).alias("b")
     meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.least(le, re) > F.greatest(ls, rs))
@@ -27,8 +29,6 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], ls: str, l
     if bucket:
         meet = meet & (F.floor(F.greatest(ls, rs) / bucket) == F.col("a._bucket"))
     own = [F.col(f"a.{c}") for c in left.columns]
-    if how in ("left_semi", "left_anti"):
-        raise ValueError("use overlap_semi or overlap_anti")
     out = a.join(b, meet, "inner").select(*own, *[F.col(f"b.{c}") for c in right.columns if c not in keys])
     return out if how == "inner" else _with_unmatched(left, out, right, keys)
 

@@ -142,7 +142,7 @@ def applied_taxonomy(items: DataFrame, changes: DataFrame, key: str = "uuid") ->
     vocal ones have a language, only verbal ones a word, all others a note."""
     c = changes.select(key, *[F.col(f).alias(f"_{f}") for f in ("category", "speaker", "language", "word", "phonetic", "note")])
     joined = items.join(c.withColumn("_there", F.lit(True)), key, "left")
-    category, vocal = normalize_category(F.col("_category")), None
+    category = normalize_category(F.col("_category"))
     vocal = category.isin("verbal vocalization", "non-verbal vocalization")
     verbal = category == "verbal vocalization"
     language = F.when(vocal, F.coalesce(F.nullif(normalize_language(F.col("_language")), F.lit("")), F.lit("Swiss German dialect")))
