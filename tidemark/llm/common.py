@@ -3,7 +3,9 @@ lineage, and row-batch helpers for the Arrow operators."""
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            own = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = f"file://{own}"
             spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
