@@ -27,6 +27,14 @@ def test_words_encode_like_texts(tokenizer):
         assert list(memoryview(bytes(ids)).cast("I")) == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_known_words_before_a_mark(tokenizer):
+    """A word that ends in a mark or symbol forms one unit with the mark after it, though it was learned alone."""
+    own = packing.WordIds(PATH)
+    words = ["foo)", "!!", "..", '"yes"', "(x)", "100%", "###", "c++", "\u0130", "\ufb1d", "x\u0301", "don't", "a1", "\u00e9t\u00e9"]
+    for texts in (words, [w + m for w in words for m in ".,;:!?"], ["foo) !", "foo). !!"]):
+        assert [list(memoryview(bytes(b)).cast("I")) for b in own.encode(pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_small_memory_of_words(tokenizer):
     own = packing.WordIds(PATH)
     own.table.limit = 3

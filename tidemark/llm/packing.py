@@ -67,6 +67,11 @@ class WordIds:
         low = word.lower()
         return low if len(low) == len(word) and "\u03a3" not in word and unicodedata.is_normalized("NFC", word) else word
 
+    @staticmethod
+    def _splits(stem: str) -> bool:
+        """Whether a mark after this stem is a unit of its own: after a letter or digit, not after other marks."""
+        return stem.isascii() and stem[-1:].isalnum() or WordIds._plain(stem)
+
     def _together(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
@@ -77,7 +82,7 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         stems = [self._lower(w[:-1] if w[-1:] in self.marks else w) for w in words]
-        known: dict[str, bytes] = {"": b""} | {s: v for s, v in zip(stems, self.table.find(stems)) if v is not None}
+        known: dict[str, bytes] = {"": b""} | {s: v for s, v in zip(stems, self.table.find(stems)) if v is not None and self._splits(s)}
         plain = list({s for s in stems if s not in known and self._plain(s)})
         for k in range(0, len(plain), _JOINED):
             part = plain[k : k + _JOINED]
