@@ -17,7 +17,7 @@ from tidemark.llm.queries import tokenizer_path
 
 
 #: Near duplicates: their shingles, fingerprints and distances.
-NEAR = {"shingle": 5, "max_distance": 7, "segments": 4, "count": 4, "max_total": 44}
+NEAR = {"shingle": 5, "max_distance": 7, "segments": 4, "count": 12, "max_total": 146, "sure_total": 84, "least": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id (of repeated rows, one).
 
-    Five-word shingles, and four fingerprints: documents of similarity 0.8 differ in 15 % of all bits on average,
-    but in one fingerprint that scatters widely, so a pair may be found by any of the four and must then differ
-    in 44 of the 256 bits at most."""
+    Five-word shingles, and twelve fingerprints: documents of similarity 0.8 differ in 15 % of all bits on average,
+    but in one fingerprint that scatters widely, so a pair may be found by any of the twelve. It is a link if it
+    differs in 84 of the 768 bits at most, and up to 146 if the exact Jaccard similarity is 0.8 or more."""
     return simhash.deduplicated(docs, **NEAR)
 
 

@@ -74,6 +74,29 @@ def test_several_fingerprints(docs, plain_rows):
     assert set(alone) <= set(texts)
 
 
+def test_pairs_about_the_threshold(spark):
+    """Of pairs with a five-word-shingle similarity somewhat above 0.8 the second goes, of those below both stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, above, below = [], set(), set()
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        parts = {tuple(words[i : i + 5]) for i in range(396)}
+        changed = list(words)
+        goal = 0.815 if k % 2 else 0.77
+        while True:
+            changed[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            other = {tuple(changed[i : i + 5]) for i in range(396)}
+            if (alike := len(parts & other) / len(parts | other)) < goal + 0.015:
+                break
+        (above if alike >= 0.8 else below).add(2 * k + 1)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), **corpus_pipeline.NEAR).collect()}
+    assert len(above) > 40 and len(below) > 40 and kept >= set(range(0, 240, 2))
+    assert len(above & kept) <= 0.05 * len(above) and len(below - kept) <= 0.02 * len(below)
+
+
 def test_deduplicated_keeps_least_id(docs, plain_rows):
     got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).select("doc_id", "text").collect()), key=str)
     fps = [slow_fingerprint(t, 4) for _, t in plain_rows]

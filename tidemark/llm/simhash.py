@@ -13,7 +13,8 @@ of those alone.
 
 One fingerprint tells documents apart to a few bits only. With ``count`` fingerprints, a pair within
 ``max_distance`` in any one of them is a link if it is within ``max_total`` in all together; documents that
-agree in one fingerprint are linked, and the least row stands for them when totals are taken.
+agree in one fingerprint are linked, and the least row stands for them when totals are taken. With ``least``, links
+of more than ``sure_total`` bits are verified by the exact Jaccard similarity of the shingles.
 
 Defined results: a null or white text has fingerprint zero and links like any other; repeated rows each
 keep a row; a null id is carried along and never becomes a component id while another id is reachable;
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import column_bytes, mapped, named, row_numbers, saved
+from tidemark.llm.common import arrow_map, column_bytes, mapped, named, row_numbers, saved
 from tidemark.llm.components import components
 
 #: Hashes whose bits are counted at once: bounds memory on a very long text.
@@ -53,13 +54,12 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * _set_bits(hashes) > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: bytes, shingle: int, count: int = 1) -> list[int]:
-    """The SimHashes of one UTF-8 text, as signed 64-bit numbers: of the shingles' XXH64 with seed 42, then of
-    hashes mixed from it."""
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each word shingle of one UTF-8 text, in order."""
     # bytes.split() and bytes.lower() know ASCII only: exactly \x20 and \x09-\x0D, exactly A-Z
     words = text.lower().split()
     if not words:
-        return [0] * count
+        return np.array([], "<u8")
     line = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(line, 42)]
@@ -68,7 +68,15 @@ def fingerprint(text: bytes, shingle: int, count: int = 1) -> list[int]:
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
         hashes = [xxhash.xxh64_intdigest(line[s:e], 42) for s, e in spans]
-    first = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: bytes, shingle: int, count: int = 1) -> list[int]:
+    """The SimHashes of one UTF-8 text, as signed 64-bit numbers: of the shingles' hashes, then of hashes mixed from
+    those."""
+    first = _shingles(text, shingle)
+    if not len(first):
+        return [0] * count
     return [_majority(first)] + [_majority(_mixed(first, k)) for k in range(1, count)]
 
 
@@ -146,7 +154,8 @@ def links(values: DataFrame, max_distance: int, segments: int) -> DataFrame:
 
 
 def _edges(nodes: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None) -> DataFrame:
-    """Links ``(a, b)`` of ``nodes(node, code, part)`` by row number, between different parts."""
+    """Links ``(a, b, total)`` of ``nodes(node, code, part)`` by row number, between different parts, with the bits that
+    differ in all fingerprints (0 where they weren't counted)."""
     found = []
     for q in range(count):
         fp = F.col("code")[q]
@@ -155,25 +164,55 @@ def _edges(nodes: DataFrame, count: int, max_distance: int, segments: int, max_t
         else:
             leads = nodes.groupBy(fp.alias("fp")).agg(F.min("node").alias("node"))
             values = saved(leads.join(nodes, "node").select("fp", "part", "node", "code"), "simhash-values")
-            found.append(nodes.select(fp.alias("fp"), F.col("node").alias("a"), "part").join(values.select("fp", F.col("node").alias("b"), F.col("part").alias("of_b")), "fp").where("a <> b and part <> of_b").select("a", "b"))
+            found.append(nodes.select(fp.alias("fp"), F.col("node").alias("a"), "part").join(values.select("fp", F.col("node").alias("b"), F.col("part").alias("of_b")), "fp").where("a <> b and part <> of_b").select("a", "b", F.lit(0).alias("total")))
         pairs = links(values, max_distance, segments)
         ends = pairs.join(values.select(F.col("fp").alias("a"), F.col("node").alias("node_a"), F.col("code").alias("code_a")), "a").join(values.select(F.col("fp").alias("b"), F.col("node").alias("node_b"), F.col("code").alias("code_b")), "b")
         if max_total is not None:
             total = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-            ends = ends.where(total <= max_total)
-        found.append(saved(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "simhash-links"))
+            ends = ends.withColumn("total", total).where(F.col("total") <= max_total)
+        else:
+            ends = ends.withColumn("total", F.lit(0))
+        found.append(saved(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "total"), "simhash-links"))
+        nodes.sparkSession._jvm.System.gc()  # shuffle files of ended rounds go when the driver's objects do
     return functools.reduce(DataFrame.union, found)
 
 
-def groups(rows: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None) -> DataFrame:
-    """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``."""
+def _alike(pairs: DataFrame, held: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose rows in ``held(keep, row)`` have a Jaccard similarity of ``least`` or more by shingles."""
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    texts = held.join(ends, "row", "left_semi").select("row", F.col("keep").getField(text_col).alias("text"))
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(_shingles(t, shingle)).tobytes() for t in column_bytes(batch, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "set"])
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both))
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    known = saved(arrow_map(texts, sets, "row long, set binary"), "simhash-sets")
+    joined = pairs.join(known.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a").join(known.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
+    return arrow_map(joined.select("a", "b", "set_a", "set_b"), compare, "a long, b long")
+
+
+def groups(rows: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None, sure_total: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``. With ``alike``,
+    links of more than ``sure_total`` bits count only if it keeps them."""
     nodes = saved(rows.groupBy("code").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "simhash-distinct")
     loose = nodes.select("node", "code", F.col("node").alias("part"))
-    close = components(_edges(loose, count, min(max_distance, segments - 1), segments, max_total))
+    close = components(_edges(loose, count, min(max_distance, segments - 1), segments, sure_total if alike else max_total))
     forest = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    if max_distance >= segments:
+    if alike or max_distance >= segments:
         parted = saved(nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part")), "simhash-parts")
-        close = components(forest.union(_edges(parted, count, max_distance, segments, max_total)))
+        more = _edges(parted, count, max_distance, segments, max_total)
+        if alike:
+            doubtful = saved(more.where(F.col("total") > sure_total).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-doubtful")
+            more = more.where(F.col("total") <= sure_total).select("a", "b").union(saved(alike(doubtful), "simhash-alike"))
+        close = components(forest.union(more.select("a", "b")))
     labelled = nodes.join(close, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     return labelled.join(least, "component").select("code", "component", "component_id")
@@ -187,14 +226,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(groups(rows, count, max_distance, segments, max_total), "code", "left").select("doc_id", "code", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3, count: int = 1, max_total: int | None = None) -> DataFrame:
-    """``docs`` with one row of each component: that with the least id, of equal ids the first saved."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3, count: int = 1, max_total: int | None = None, sure_total: int | None = None, least: float | None = None) -> DataFrame:
+    """``docs`` with one row of each component: that with the least id, of equal ids the first saved. With ``least``, links of
+    more than ``sure_total`` bits are held against the exact Jaccard similarity of their shingles."""
     held = saved(fingerprints(docs, docs.columns, text_col, shingle, count), "simhash")
     rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
-    grouped = rows.join(groups(rows, count, max_distance, segments, max_total), "code", "left")
+    alike = None if least is None else functools.partial(_alike, held=held, text_col=text_col, shingle=shingle, least=least)
+    grouped = rows.join(groups(rows, count, max_distance, segments, max_total, sure_total, alike), "code", "left")
     # the least id first, then the least row among those that have it; both are summed up before a shuffle
-    least = grouped.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
-    return held.join(least.select("row"), "row", "left_semi").select("keep.*")
+    first = grouped.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
+    return held.join(first.select("row"), "row", "left_semi").select("keep.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:
