@@ -69,6 +69,22 @@ class Words(HTMLParser):
             self.words += data.split()
 
 
+@pytest.mark.parametrize(
+    "sheet,text",
+    [
+        ("@media print { nav { display:none } }", "a b"),
+        ("@media (max-width:767px){ .x{display:none} nav{display:none} } b{display:none}", "a"),
+        ("@media screen { nav { display:none } }", "b"),
+        ("@media print, only screen { nav { display:none } } b { color:red }", "b"),
+        ("@media all { @media print { nav{display:none} } b{display:none} }", "a"),
+        ("@media print { @media all { nav{display:none} } b{display:none}", "a b"),
+        ("@media all {" * 5000 + "}} nav{display:none}", "b"),
+    ],
+)
+def test_media_blocks(sheet, text):
+    assert html.render(f"<style>{sheet}</style><nav>a </nav><b>b</b>").split() == text.split()
+
+
 def test_all_visible_words_stand_in_order():
     rng, number = random.Random(4), iter(range(10**6))
 

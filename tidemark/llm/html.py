@@ -207,6 +207,34 @@ class Builder:
         return self.root
 
 
+#: Braces, with the query of an @media block; and a query that holds on any screen.
+_BRACE = re.compile(r"@media\b([^{};]*+)\{|[{}]", re.I)
+_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen))?\Z", re.I)
+
+
+def _on_screen(sheet: str) -> str:
+    """A style sheet without the @media blocks that need more than a screen."""
+    out: list[str] = []
+    open_blocks: list[bool | None] = []  # whether an @media block is read; None for other blocks
+    at = skipped = 0
+    for m in _BRACE.finditer(sheet):
+        if m[1] is None and m.group() == "{":
+            open_blocks.append(None)
+            continue
+        shown = any(_SCREEN.match(q.strip()) for q in m[1].split(",")) if m[1] is not None else open_blocks.pop() if open_blocks else None
+        if shown is None:
+            continue
+        if not skipped:
+            out.append(sheet[at : m.start()])
+        at = m.end()
+        if m[1] is not None:
+            open_blocks.append(shown)
+            skipped += not shown
+        else:
+            skipped -= not shown
+    return "".join(out) + ("" if skipped else sheet[at:])
+
+
 def _declarations(text: str) -> dict[str, str]:
     out = {}
     for part in text.lower().split(";"):
@@ -222,7 +250,7 @@ class Styles:
     def __init__(self, sheets: list[str]):
         self.rules: dict[tuple[str, str, str], dict[str, str]] = {}
         for sheet in sheets:
-            for selectors, body in _RULE.findall(re.sub(r"/\*(?s:.*?)\*/|<!--|-->", "", sheet)):
+            for selectors, body in _RULE.findall(_on_screen(re.sub(r"/\*(?s:.*?)\*/|<!--|-->", "", sheet))):
                 if found := _declarations(body):
                     for s in selectors.split(","):
                         if (m := _SELECTOR.match(s.strip())) and m.group():
