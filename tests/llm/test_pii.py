@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from tidemark.llm import pii
 
 PATTERNS = {
@@ -67,3 +69,11 @@ def test_find_and_redact(docs, plain_rows):
     assert all(r["spans"] == "own spans" for r in rows)
     assert not any(base(r["text"] or "") for r in rows)
     assert pii.find(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("after", ["", " BIC: COBADEFF", " A new", " AND SOME MORE", ". Then", " 12 AB"])
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"])
+def test_account_before_capitals(number, after):
+    assert number not in pii.redacted(f"IBAN: {number}{after}") and pii.redacted(f"IBAN: {number}{after}").endswith(after)
+    wrong = number[:-1] + "9"
+    assert wrong in pii.redacted(f"IBAN: {wrong}")

@@ -105,9 +105,14 @@ def _url(text: str, start: int, end: int, free: int) -> _Found:
 def _iban(text: str, start: int, end: int, free: int) -> _Found:
     if start < free or _word_before(text, start) or not (m := _IBAN.match(text, end)):
         return None, free
-    code = m.group(1).replace(" ", "")
-    number = "".join(str(int(c, 36)) for c in code[4:] + code[:4])
-    return (m.span(1) if int(number) % 97 == 1 else None), m.end()
+    first, last = m.span(1)
+    while True:  # a word in capitals after the number is taken for a part of it at first
+        code = text[first:last].replace(" ", "")
+        if len(code) < 15:
+            return None, m.end()
+        if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return (first, last), last
+        last = max(text.rfind(" ", first, last), first)
 
 
 def _after_cue(pattern: re.Pattern[str], group: int) -> Callable[[str, int, int, int], _Found]:
