@@ -40,38 +40,104 @@ def slow_components(fps, ids, linked):
     return [(root(k), least.get(root(k))) for k in range(len(fps))]
 
 
-@pytest.mark.parametrize("shingle,distance,segments", [(4, 4, 3), (2, 11, 4), (4, 0, 3)])
-def test_against_brute_force(docs, plain_rows, shingle, distance, segments):
-    got = Counter(map(tuple, simhash.near_duplicates(docs, shingle=shingle, max_distance=distance, segments=segments).select("doc_id", simhash.hex_fingerprint(F.col("code")[0]), "component_id").collect()))
+@pytest.mark.parametrize("shingle,distance", [(4, 4), (2, 11), (4, 0)])
+def test_against_brute_force(docs, plain_rows, shingle, distance):
+    got = Counter(map(tuple, simhash.near_duplicates(docs, shingle=shingle, max_distance=distance).select("doc_id", simhash.hex_fingerprint(F.col("code")[0]), "component_id").collect()))
     fps = [slow_fingerprint(t, shingle) for _, t in plain_rows]
     ids = [i for i, _ in plain_rows]
     want = slow_components(fps, ids, lambda a, b: (a ^ b).bit_count() <= distance)
     assert got == Counter((i, f"{f:016x}", c) for i, f, (_, c) in zip(ids, fps, want))
 
 
-@pytest.mark.parametrize("distance,segments", [(4, 3), (7, 4), (8, 3), (2, 3), (5, 2)])
-def test_links_are_complete_and_single(spark, distance, segments):
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+@pytest.mark.parametrize("distance,segments", [(4, 3), (4, 2), (7, 4), (8, 3), (2, 3), (5, 2), (0, 2)])
+def test_lookups_are_complete_and_single(spark, distance, segments):
+    """All pairs of different parts within the distance, each once; with a part so large that it is looked up apart."""
     rng = random.Random(distance)
     values = {rng.getrandbits(64) for _ in range(60)}
     for v in list(values):
         for _ in range(4):
             values.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, distance + 2))))
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(v, v) for v in signed], "fp long, part long")
-    got = [frozenset(r) for r in simhash.links(df, distance, segments).collect()]
-    want = {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
+    centre = rng.getrandbits(64)
+    hot = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(80)}
+    rows = [(k, [signed(v)], (k if v not in hot else -1 - k % 3), v in hot) for k, v in enumerate(sorted(values | hot))]
+    df = spark.createDataFrame(rows, "node long, code array<long>, part long, large boolean")
+    got = []
+    for pairs in simhash.Lookups(simhash.segment_plan(distance, segments), 1, distance).across(df):
+        got += [frozenset(r) for r in pairs.collect()]
+    want = {frozenset((a, b)) for a, (x,), p, _ in rows for b, (y,), q, _ in rows if a < b and p != q and ((x ^ y) & (1 << 64) - 1).bit_count() <= distance}
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_several_fingerprints(docs, plain_rows):
-    """Links: equal in a fingerprint, or near in one and near in all; the least row of a value stands for it."""
-    kept = simhash.deduplicated(docs, shingle=5, max_distance=7, segments=4, count=4, max_total=44)
-    assert kept.schema.simpleString() == docs.schema.simpleString()
-    texts = [r["text"] for r in kept.select("text").collect()]
-    assert len(texts) == len(set(texts))
-    codes = {t: simhash.fingerprint((t or "").encode(), 5, 4) for _, t in plain_rows}
-    alone = [t for t in codes if all(o == t or min((x ^ y).bit_count() if x >= 0 and y >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(codes[t], codes[o])) > 7 for o in codes)]
-    assert set(alone) <= set(texts)
+def test_plans():
+    """Narrow segments for few values, wide ones for many; a likely plan keeps what it promises."""
+    few, many = simhash.complete_plan(1000, 4), simhash.complete_plan(10**9, 4)
+    assert min(s.width for s in few) < min(s.width for s in many)
+    for n, count in ((10**3, 12), (10**6, 12), (10**9, 24)):
+        plan = simhash.likely_plan(n, count, 0.8, 0.01)
+        q, w = 1 - simhash.differing(0.8), plan[0].width
+        assert (1 - q**w - w * (1 - q) * q ** (w - 1)) ** len(plan) <= 0.01
+        covers = Counter()
+        for s in plan:
+            assert 0 <= s.word < count and s.low + s.width <= 64
+            covers.update((s.word, b) for b in range(s.low, s.low + s.width))
+        assert max(covers.values()) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 254, 255, 256, 70_000])
+def test_set_bits(n):
+    import numpy as np
+
+    hashes = np.random.default_rng(n).integers(0, 1 << 64, n, dtype="<u8")
+    assert simhash._set_bits(hashes).tolist() == [int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+
+
+def jaccard_components(rows, least, shingle=5):
+    """Brute force over the different texts: components of the pairs with an exact similarity of ``least`` or more."""
+    def parts(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+    sets = [parts(t) for _, t in rows]
+    ids = [i for i, _ in rows]
+    index = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            index.setdefault(x, []).append(k)
+    def near(a, b):
+        both = len(sets[a] & sets[b])
+        return sets[a] == sets[b] or both >= least * (len(sets[a]) + len(sets[b]) - both)
+
+    pairs = {(a, b) for rows_of in index.values() if len(rows_of) > 1 for a in rows_of for b in rows_of if b < a}
+    empty = [k for k, s in enumerate(sets) if not s]
+    pairs |= {(a, b) for a in empty for b in empty if b < a}
+    return ids, [(a, b) for a, b in pairs if near(a, b)]
+
+
+def test_deduplicated_against_exact_jaccard(spark):
+    """The whole small table: nothing links below 0.8, and at least 99 % of what brute force removes goes."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    kept = {r["doc_id"] for r in simhash.deduplicated(table).select("doc_id").collect()}
+    ids, linked = jaccard_components(rows, 0.8)
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = root(a), root(b)
+        low, high = sorted((a, b), key=lambda k: ids[k])
+        parent[high] = low
+    want = {ids[k] for k in range(len(ids)) if root(k) == k}
+    gone = set(ids) - want
+    assert len(gone) > 50 and want <= kept and len(kept - want) <= 0.01 * len(gone)
 
 
 def test_pairs_about_the_threshold(spark):
@@ -98,10 +164,11 @@ def test_pairs_about_the_threshold(spark):
 
 
 def test_deduplicated_keeps_least_id(docs, plain_rows):
-    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).select("doc_id", "text").collect()), key=str)
-    fps = [slow_fingerprint(t, 4) for _, t in plain_rows]
-    ids = [i for i, _ in plain_rows]
-    component = slow_components(fps, ids, lambda a, b: (a ^ b).bit_count() <= 4)
+    kept = simhash.deduplicated(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()), key=str)
+    ids, linked = jaccard_components(plain_rows, 0.8)
+    component = slow_components(list(range(len(ids))), ids, lambda a, b: (a, b) in pairs) if (pairs := set(linked)) else []
     assert Counter(i for i, _ in got) == Counter(c for _, c in set(component))
 
 

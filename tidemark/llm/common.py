@@ -8,7 +8,9 @@ import itertools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -16,21 +18,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch: keeps a batch of long texts small beside the executor's memory.
+#: Rows that an Arrow operator works on at once: keeps what it makes of long texts small beside the executor's memory.
 BATCH_ROWS = 512
+#: Parts that the rows of one key are dealt to where a key may hold a large share of all rows.
+SALTS = 64
+
+#: The scratch folder of each table that ``saved`` gave.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own;
+    on a cluster that is an error, as executors would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            own = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            base = f"file://{own}"
-            spark.sparkContext.setCheckpointDir(base)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -40,17 +47,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """What is at ``path`` is removed when the application ends."""
+    store, at = _stored(spark, path)
+    store.deleteOnExit(at)
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def saved(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: later plans start at files
-    that outlive any executor, and every reader sees the same rows in the same partitions."""
-    path = scratch_path(df.sparkSession, name)
+    that outlive any executor, and every reader sees the same rows in the same partitions. Then the saved tables
+    ``instead_of``, which nothing reads any more, are removed; the others go when the application ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    goes_at_exit(spark, path)
+    for old in instead_of:
+        store, at = _stored(spark, _folders.pop(old))
+        store.delete(at, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches at BATCH_ROWS rows in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a ``key``, where a key may hold a large share of ``rows``: these are dealt
+    to SALTS parts by their column ``by``, each (key, part) that there is fetches the key's row first, and the rows then
+    join on both. ``key`` is not null on either side."""
+    salt = free_name(rows, "_salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    known = dealt.select(key, salt).distinct().join(keyed, key)
+    return dealt.join(known, [key, salt], how).drop(salt)
 
 
 def row_numbers(seen: list[int], rows: int) -> pa.Array:
@@ -62,14 +92,15 @@ def row_numbers(seen: list[int], rows: int) -> pa.Array:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over small batches, for columns of any name: Spark's own takes a dot in a name for a field's."""
-    small_batches(df.sparkSession)
+    """``mapInArrow`` over batches of BATCH_ROWS rows at most, for columns of any name: Spark's own takes a dot in a name for a
+    field's, and its batches hold up to ``spark.sql.execution.arrow.maxBytesPerBatch``."""
     names = df.columns
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     plain = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(out)])
 
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+        small = (pa.RecordBatch.from_arrays(b.slice(k, BATCH_ROWS).columns, names) for b in batches for k in range(0, b.num_rows, BATCH_ROWS))
+        for batch in run(small):
             yield pa.RecordBatch.from_arrays(batch.columns, plain.names)
 
     return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, plain).toDF(*out.names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, spread_join
 
 
 def _lowest_neighbour(arcs: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def _lowest_neighbour(arcs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     arcs = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return arcs.where("b > a").join(_lowest_neighbour(arcs), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return spread_join(arcs.where("b > a"), _lowest_neighbour(arcs), "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = _lowest_neighbour(down)
-    moved = down.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = spread_join(down, low, "a", "b").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(low.select("a", F.col("low").alias("b")))
 
 
@@ -36,11 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops, repeated edges and either direction are allowed; rows with a null end are ignored; an
     empty table gives an empty one. Rounds repeat until the edge set is a forest of stars and no longer
     changes; each round is written to the shared folder, so lineage stays short and a lost executor costs
-    at most one round."""
+    at most one round. A hub's arcs are dealt to several tasks where they meet its lowest neighbour."""
     clean = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     now = saved(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, after = None, _state(now)
     while after[0] and after != before:
-        now = saved(_small_star(_large_star(now)).where("a <> b").distinct(), "edges")
+        now = saved(_small_star(_large_star(now)).where("a <> b").distinct(), "edges", instead_of=[now])
         before, after = after, _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

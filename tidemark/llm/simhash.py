@@ -1,20 +1,25 @@
 """SimHash near-duplicate detection by multi-index hashing.
 
 Documents become 64-bit fingerprints of their word shingles. Equal fingerprints are collapsed first, so a
-group of copies is one row from there on. To find every pair of different fingerprints within
-``max_distance`` bits, the 64 bits are cut into segments; by the pigeonhole principle such a pair is
-within a small radius in one of them. One side enumerates the Hamming ball of that radius around its own
-segment value, the other is a table keyed by segment value; their join fetches the matches, and the
-complete distance is verified in the join condition. Components of the links come last.
-
-Near copies by the thousand would still give all their pairs. So links that need no ball come first (those
-within ``segments - 1`` bits agree in a segment), and the balls then look for links between the components
-of those alone.
-
-One fingerprint tells documents apart to a few bits only. With ``count`` fingerprints, a pair within
-``max_distance`` in any one of them is a link if it is within ``max_total`` in all together; documents that
-agree in one fingerprint are linked, and the least row stands for them when totals are taken. With ``least``, links
-of more than ``sure_total`` bits are verified by the exact Jaccard similarity of the shingles.
+group of copies is one row from there on. The bits are cut into segments, and a table is keyed by each segment's
+value. One side enumerates the Hamming ball of a small radius around its own value, a join fetches the table's
+matches, and the complete distance is verified in the join condition. Components of the links come last.
+
+With one fingerprint, segments and radii follow from the pigeonhole principle: a pair within ``max_distance`` bits is
+within the radius in some segment, so no link is lost. How many segments there are is chosen by the count of
+different fingerprints: wide segments have larger balls, narrow ones more matches by chance. The links are the
+same.
+
+One fingerprint tells documents apart to a few bits only. ``alike`` takes ``count`` of them, of the different shingles,
+and links pairs by their exact Jaccard similarity: a pair at ``least`` differs in 15 % of all bits on average, so it is
+within one bit in one of enough segments with any wished probability. Candidates must then agree in another
+fingerprint and in all together to a loose bound; those far within it are links at once, and the shingles of the rest
+are compared.
+
+Near copies by the thousand would still give all their pairs. So rows that share a segment's value are first linked
+with the least of them alone, where the complete distance allows it. The balls then look only for links between the
+components of that: the members of a large component meet the rows of other components in a slot, never one
+another.
 
 Defined results: a null or white text has fingerprint zero and links like any other; repeated rows each
 keep a row; a null id is carried along and never becomes a component id while another id is reachable;
@@ -23,9 +28,10 @@ columns other than the id and the text are not read. An empty table gives an emp
 
 from __future__ import annotations
 
-import functools
 import itertools
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +40,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, column_bytes, mapped, named, row_numbers, saved
+from tidemark.llm.common import SALTS, arrow_map, column_bytes, mapped, named, row_numbers, saved, spread_join
 from tidemark.llm.components import components
 
-#: Hashes whose bits are counted at once: bounds memory on a very long text.
-_CHUNK = 1 << 16
+#: Hashes whose bits are counted at once: bounds memory on a very long text. A multiple of the most that a byte counts.
+_CHUNK = 255 << 8
+_LANES = np.uint64(0x0101010101010101)
+#: A component of so many nodes or more is kept apart from its own members when balls are looked up.
+LARGE = 32
+#: Rows a node may have in one round of lookups: bounds what a round shuffles.
+ROUND_ROWS = 48
+#: How many table matches cost as much as a row that is shuffled.
+_MATCHES_A_ROW = 50
 
 
 def _set_bits(hashes: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set."""
-    total = np.zeros(64, np.int64)
+    """How often each of the 64 bits is set: eight bits of a number at a time are summed up in its eight bytes, for up
+    to 255 numbers."""
+    total = np.zeros((8, 8), np.int64)
     for k in range(0, len(hashes), _CHUNK):
-        part = hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return total
+        part = hashes[k : k + _CHUNK]
+        if over := len(part) % 255:
+            part = np.concatenate((part, np.zeros(255 - over, "<u8")))
+        for bit in range(8):
+            sums = ((part >> np.uint64(bit)) & _LANES).reshape(-1, 255).sum(axis=1, dtype="<u8")
+            total[:, bit] += sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return total.ravel()
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -71,12 +89,14 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.array(hashes, "<u8")
 
 
-def fingerprint(text: bytes, shingle: int, count: int = 1) -> list[int]:
+def fingerprint(text: bytes, shingle: int, count: int = 1, repeats: bool = True) -> list[int]:
     """The SimHashes of one UTF-8 text, as signed 64-bit numbers: of the shingles' hashes, then of hashes mixed from
-    those."""
+    those. Without ``repeats``, each different shingle counts once."""
     first = _shingles(text, shingle)
     if not len(first):
         return [0] * count
+    if not repeats:
+        first = np.unique(first)
     return [_majority(first)] + [_majority(_mixed(first, k)) for k in range(1, count)]
 
 
@@ -89,14 +109,14 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 4, count: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 4, count: int = 1, repeats: bool = True) -> DataFrame:
     """``(keep, code, row)`` for every row of ``docs``: the named columns as one struct, the array of fingerprints,
     and a number of its own for the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0]
         for batch in batches:
-            codes = pa.array([fingerprint(t, shingle, count) for t in column_bytes(batch, 1)], pa.list_(pa.int64()))
+            codes = pa.array([fingerprint(t, shingle, count, repeats) for t in column_bytes(batch, 1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), codes, row_numbers(seen, batch.num_rows)], ["keep", "code", "row"])
 
     given = docs.select(F.struct(*named(keep)).alias("keep"), *[c.alias("text") for c in named([text_col])])
@@ -104,135 +124,234 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     return mapped(given, run, T.StructType([given.schema["keep"], *more]))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Segment(NamedTuple):
+    """Bits of one fingerprint that a table is keyed by, and the radius of the balls around their value."""
+
+    word: int
+    low: int
+    width: int
+    radius: int
+
+    @property
+    def cover(self) -> int:
+        return ((1 << self.width) - 1) << self.low
+
+    def flips(self, radius: int) -> list[int]:
+        """Every point of the ball, as what differs from its centre."""
+        bits = [1 << i for i in range(self.low, self.low + self.width)]
+        return [sum(c) for n in range(radius + 1) for c in itertools.combinations(bits, n)]
 
+    @property
+    def rows(self) -> float:
+        """Rows that a value looks up on average: of two values that differ in a flip, one alone does."""
+        return (1 + sum(math.comb(self.width, n) for n in range(self.radius + 1))) / 2
 
-def segment_plan(max_distance: int, segments: int) -> list[tuple[int, int]]:
-    """``(cover mask, radius)`` for each segment that must be probed. With ``max_distance = a * segments + b``,
-    a pair that differs in more than ``a`` bits in each of the first ``b + 1`` segments and in more than
-    ``a - 1`` in each of the rest differs in more than ``max_distance`` bits in all."""
+
+def _cost(plan: list[Segment], n: int) -> float:
+    """What a value costs among ``n``: the rows it looks up, and the matches that chance gives them."""
+    return sum(s.rows + n * s.rows / 2**s.width / _MATCHES_A_ROW for s in plan)
+
+
+def segment_plan(max_distance: int, segments: int) -> list[Segment]:
+    """The segments of one fingerprint that must be looked up. With ``max_distance = a * segments + b``, a pair that
+    differs in more than ``a`` bits in each of the first ``b + 1`` segments and in more than ``a - 1`` in each of the rest
+    differs in more than ``max_distance`` bits in all."""
     a, b = divmod(max_distance, segments)
     edges = [round(64 * k / segments) for k in range(segments + 1)]
-    plan = [((1 << hi) - (1 << lo), a if k <= b else a - 1) for k, (lo, hi) in enumerate(itertools.pairwise(edges))]
-    return [(cover, radius) for cover, radius in plan if radius >= 0]
-
-
-def _balls(plan: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """``(segment, cover, flip)`` for every point of each segment's ball."""
-    out = []
-    for k, (cover, radius) in enumerate(plan):
-        bits = [1 << i for i in range(64) if cover >> i & 1]
-        out += [(k, cover, sum(c)) for n in range(radius + 1) for c in itertools.combinations(bits, n)]
-    return out
-
-
-def _rows(points: list[tuple[int, int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("seg"), F.lit(_signed(c)).alias("cover"), F.lit(_signed(f)).alias("flip"), F.lit(_signed(f & -f)).alias("lowest")) for k, c, f in points])
-
-
-def links(values: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """All pairs ``(a, b)`` of the different fingerprints in ``values(fp, part)`` that differ in 1 to
-    ``max_distance`` bits and in ``part``, each once.
-
-    Of two values that differ in a flip, exactly one has a zero at the flip's lowest bit; only that one
-    probes, which halves the balls. A pair that several segments would find is kept by the first alone."""
-    plan = segment_plan(max_distance, segments)
-    table = values.select("fp", "part", F.explode(_rows([(k, c, 0) for k, (c, _) in enumerate(plan)])).alias("s"))
-    table = table.select("s.seg", F.col("fp").bitwiseAND(F.col("s.cover")).alias("key"), F.col("fp").alias("b"), F.col("part").alias("of_b"))
-    probes = values.select("fp", "part", F.explode(_rows(_balls(plan))).alias("s")).where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0)
-    key = F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover"))
-    probes = probes.select("s.seg", key.alias("key"), F.col("fp").alias("a"), F.col("part").alias("of_a"), (F.col("s.flip") == 0).alias("same"))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(True)
-    for k, (cover, radius) in enumerate(plan):
-        first = first & ((F.col("p.seg") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(cover)))) > radius))
-    meet = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key"))
-    linked = (F.col("of_a") != F.col("of_b")) & (F.bit_count(apart) <= max_distance) & (~F.col("same") | (F.col("a") < F.col("b")))
-    # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
-    return probes.alias("p").hint("merge").join(table.alias("t"), meet & linked & first).select("a", "b")
-
-
-def _edges(nodes: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None) -> DataFrame:
-    """Links ``(a, b, total)`` of ``nodes(node, code, part)`` by row number, between different parts, with the bits that
-    differ in all fingerprints (0 where they weren't counted)."""
-    found = []
-    for q in range(count):
-        fp = F.col("code")[q]
-        if count == 1:
-            values = nodes.select(fp.alias("fp"), "part", "node", "code")
-        else:
-            leads = nodes.groupBy(fp.alias("fp")).agg(F.min("node").alias("node"))
-            values = saved(leads.join(nodes, "node").select("fp", "part", "node", "code"), "simhash-values")
-            found.append(nodes.select(fp.alias("fp"), F.col("node").alias("a"), "part").join(values.select("fp", F.col("node").alias("b"), F.col("part").alias("of_b")), "fp").where("a <> b and part <> of_b").select("a", "b", F.lit(0).alias("total")))
-        pairs = links(values, max_distance, segments)
-        ends = pairs.join(values.select(F.col("fp").alias("a"), F.col("node").alias("node_a"), F.col("code").alias("code_a")), "a").join(values.select(F.col("fp").alias("b"), F.col("node").alias("node_b"), F.col("code").alias("code_b")), "b")
-        if max_total is not None:
-            total = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-            ends = ends.withColumn("total", total).where(F.col("total") <= max_total)
-        else:
-            ends = ends.withColumn("total", F.lit(0))
-        found.append(saved(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "total"), "simhash-links"))
-        nodes.sparkSession._jvm.System.gc()  # shuffle files of ended rounds go when the driver's objects do
-    return functools.reduce(DataFrame.union, found)
-
-
-def _alike(pairs: DataFrame, held: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose rows in ``held(keep, row)`` have a Jaccard similarity of ``least`` or more by shingles."""
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = held.join(ends, "row", "left_semi").select("row", F.col("keep").getField(text_col).alias("text"))
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(_shingles(t, shingle)).tobytes() for t in column_bytes(batch, 1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "set"])
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both))
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    known = saved(arrow_map(texts, sets, "row long, set binary"), "simhash-sets")
-    joined = pairs.join(known.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a").join(known.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b")
-    return arrow_map(joined.select("a", "b", "set_a", "set_b"), compare, "a long, b long")
-
-
-def groups(rows: DataFrame, count: int, max_distance: int, segments: int, max_total: int | None, sure_total: int | None = None, alike: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``. With ``alike``,
-    links of more than ``sure_total`` bits count only if it keeps them."""
+    plan = [Segment(0, lo, hi - lo, a if k <= b else a - 1) for k, (lo, hi) in enumerate(itertools.pairwise(edges))]
+    return [s for s in plan if s.radius >= 0]
+
+
+def complete_plan(n: int, max_distance: int) -> list[Segment]:
+    """The cheapest of the plans that lose no pair among ``n`` values."""
+    return min((segment_plan(max_distance, k) for k in range(2, 17)), key=lambda plan: _cost(plan, n))
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which sets of this Jaccard similarity and equal size differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def likely_plan(n: int, count: int, least: float, missed: float = 0.01) -> list[Segment]:
+    """The cheapest plan of radius one that misses a pair of similarity ``least`` with a probability of ``missed`` at
+    most, within ``count`` fingerprints; if none reaches that, the plan that misses fewest."""
+    q, plans = 1 - differing(least), []
+    for width in range(8, 33):
+        found = q**width + width * (1 - q) * q ** (width - 1)
+        per_word = 64 // width
+        wanted = math.ceil(math.log(missed) / math.log1p(-found))
+        tables = min(wanted, count * per_word)
+        plans.append((tables < wanted, (1 - found) ** tables if tables < wanted else 0.0, [Segment(k % count, k // count * width, width, 1) for k in range(tables)]))
+    return min(plans, key=lambda p: (p[0], p[1], _cost(p[2], n)))[2]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Lookups:
+    """Tables and lookups of a plan over nodes ``(node, code, part, large)``: ``code`` is an array of ``count``
+    fingerprints. A pair is near if it differs in at most ``max_check`` bits of a fingerprint that the segment isn't
+    in; of a single fingerprint, of that itself."""
+
+    def __init__(self, plan: list[Segment], count: int, max_check: int):
+        self.plan, self.count, self.max_check = plan, count, max_check
+
+    def _rows(self, nodes: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
+        """``(slot, node, check, part, same, seg)``: a row for each node and point ``(segment, flip)``, the lowest bit of the flip
+        being 0 in the node."""
+        made = []
+        for k, flip in points:
+            s = self.plan[k]
+            values = {"seg": k, "at": s.word, "other": (s.word + 1) % self.count, "low": s.low, "cover": _signed(s.cover), "flip": _signed(flip), "lowest": _signed(flip & -flip)}
+            made.append(F.struct(*[F.lit(v).cast("long" if c in ("cover", "flip", "lowest") else "int").alias(c) for c, v in values.items()]))
+        rows = nodes.select("node", "code", "part", F.explode(F.array(*made)).alias("s")).withColumn("fp", F.get("code", F.col("s.at")))
+        key = F.call_function("shiftrightunsigned", F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover")), F.col("s.low"))
+        slot = F.col("s.seg").cast("long") * F.lit(1 << 40) + key
+        return rows.where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0).select(slot.alias("slot"), "node", F.get("code", F.col("s.other")).alias("check"), "part", (F.col("s.flip") == 0).alias("same"))
+
+    def _tables(self, nodes: DataFrame, segments: range) -> DataFrame:
+        return self._rows(nodes, [(k, 0) for k in segments]).drop("same")
+
+    def _near(self, a: Column, b: Column) -> Column:
+        return F.bit_count(a.bitwiseXOR(b)) <= self.max_check
+
+    def _once(self, slot: Column, a: Column, b: Column) -> Column:
+        """Whether this segment is the first that finds the pair; known where the check is the fingerprint itself."""
+        first, apart = F.lit(True), a.bitwiseXOR(b)
+        if self.count == 1:
+            for k, s in enumerate(self.plan):
+                first = first & ((slot <= F.lit((k + 1 << 40) - 1)) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(s.cover)))) > s.radius))
+        return first
+
+    def stars(self, nodes: DataFrame) -> DataFrame:
+        """Near pairs ``(a, b)`` of a node with the least node that has its value in some segment."""
+        table = self._tables(nodes, range(len(self.plan)))
+        heads = table.groupBy("slot").agg(F.min(F.struct("node", "check")).alias("head"))
+        met = spread_join(table, heads, "slot", "node")
+        return met.where((F.col("node") > F.col("head.node")) & self._near(F.col("check"), F.col("head.check"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+
+    def _rounds(self) -> Iterator[range]:
+        start, held = 0, 0.0
+        for k, s in enumerate(self.plan):
+            if k > start and held + s.rows > ROUND_ROWS:
+                yield range(start, k)
+                start, held = k, 0.0
+            held += s.rows
+        if self.plan:
+            yield range(start, len(self.plan))
+
+    def across(self, nodes: DataFrame) -> Iterator[DataFrame]:
+        """Near pairs ``(a, b)`` of nodes of different parts, in rounds of some segments each."""
+        for segments in self._rounds():
+            points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
+            table = self._tables(nodes, segments).select("slot", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("part").alias("of_b"))
+            near = self._near(F.col("check"), F.col("check_b")) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), F.col("check"), F.col("check_b"))
+            # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
+            single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
+            # a large part asks once for the rows of other parts in a slot, and its members meet those alone
+            salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
+            many = self._rows(nodes.where("large"), points).select("*", salt)
+            salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+            asked = many.select("slot", "part").distinct().withColumn("salt", salts)
+            others = asked.join(table.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), ["slot", "salt"]).where(F.col("part") != F.col("of_b"))
+            dealt = others.drop("salt", "of_b").withColumn("salt", salts)
+            members = many.hint("merge").join(dealt, ["slot", "part", "salt"]).where(near)
+            both = [x.select(F.col("node").alias("a"), "b") for x in (single, members)]
+            yield both[0].union(both[1]) if self.count == 1 else both[0].union(both[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _total(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+class Alike:
+    """Keeps pairs whose texts have a Jaccard similarity of ``least`` or more by different shingles. ``held`` has the texts
+    by row. Of ``64 * count`` bits, pairs that differ in more than a similarity of ``least`` gives by chance are none, and
+    those that differ in fewer than any below it would are some at once."""
+
+    def __init__(self, held: DataFrame, text_col: str, shingle: int, count: int, least: float):
+        self.held, self.text_col, self.shingle, self.least = held, text_col, shingle, least
+        bits, q = 64 * count, differing(least)
+        spread = math.sqrt(bits * q * (1 - q))
+        self.max_total, self.sure_total = round(bits * q + 3.3 * spread), round(bits * q - 3.3 * spread)
+
+    def __call__(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        ends = pairs.join(nodes.select(F.col("node").alias("a"), F.col("code").alias("code_a")), "a")
+        ends = spread_join(ends, nodes.select(F.col("node").alias("b"), F.col("code").alias("code_b")), "b", "a")
+        near = saved(ends.select("a", "b", _total(F.col("code_a"), F.col("code_b")).alias("total")).where(F.col("total") <= self.max_total), "simhash-near")
+        return near.where(F.col("total") <= self.sure_total).select("a", "b").union(self.compared(near.where(F.col("total") > self.sure_total).select("a", "b")))
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+        texts = self.held.join(ends, "row", "left_semi").select("row", F.col("keep").getField(self.text_col).alias("text"))
+        shingle, least = self.shingle, self.least
+
+        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(_shingles(t, shingle)).tobytes() for t in column_bytes(batch, 1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "set"])
+
+        def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        known = saved(arrow_map(texts, sets, "row long, set binary"), "simhash-sets")
+        joined = pairs.join(known.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
+        joined = spread_join(joined, known.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b", "a")
+        return saved(arrow_map(joined.select("a", "b", "set_a", "set_b"), compare, "a long, b long"), "simhash-alike")
+
+
+def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``: ``make`` gives the lookups
+    for a count of codes, and ``verify`` keeps the links among near pairs ``(a, b)`` of nodes."""
+    spark = rows.sparkSession
     nodes = saved(rows.groupBy("code").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "simhash-distinct")
-    loose = nodes.select("node", "code", F.col("node").alias("part"))
-    close = components(_edges(loose, count, min(max_distance, segments - 1), segments, sure_total if alike else max_total))
+    lookups = make(nodes.count())
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verify(pairs, nodes) if verify else pairs
+
+    close = components(links(saved(lookups.stars(nodes.select("node", "code", F.col("node").alias("part"))), "simhash-stars")))
+    sizes = close.groupBy(F.col("component").alias("part")).count().where(F.col("count") >= LARGE).select("part", F.lit(True).alias("large"))
+    parted = nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part"))
+    parted = saved(spread_join(parted, sizes, "part", "node", "left").withColumn("large", F.coalesce("large", F.lit(False))), "simhash-parts")
+    found = []
+    for pairs in lookups.across(parted):
+        found.append(saved(pairs, "simhash-pairs"))
+        spark._jvm.System.gc()  # shuffle files of ended rounds go when the driver's objects do
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
     forest = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    if alike or max_distance >= segments:
-        parted = saved(nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part")), "simhash-parts")
-        more = _edges(parted, count, max_distance, segments, max_total)
-        if alike:
-            doubtful = saved(more.where(F.col("total") > sure_total).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-doubtful")
-            more = more.where(F.col("total") <= sure_total).select("a", "b").union(saved(alike(doubtful), "simhash-alike"))
-        close = components(forest.union(more.select("a", "b")))
+    close = components(forest.union(links(pairs.distinct() if len(found) > 1 else pairs)))
     labelled = nodes.join(close, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return labelled.join(least, "component").select("code", "component", "component_id")
+    return spread_join(labelled, least, "component", "node").select("code", "component", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3, count: int = 1, max_total: int | None = None) -> DataFrame:
-    """One row per document: ``doc_id``, ``code`` (its fingerprints) and ``component_id``, the least id that links
-    reach."""
-    held = saved(fingerprints(docs, [id_col], text_col, shingle, count), "simhash")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
+    """One row per document: ``doc_id``, ``code`` (an array of its fingerprint) and ``component_id``, the least id that links
+    reach. Fingerprints link at ``max_distance`` or fewer differing bits; every such pair is found."""
+    held = saved(fingerprints(docs, [id_col], text_col, shingle), "simhash")
     rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
-    return rows.join(groups(rows, count, max_distance, segments, max_total), "code", "left").select("doc_id", "code", "component_id")
+    grouped = groups(rows, lambda n: Lookups(complete_plan(n, max_distance), 1, max_distance))
+    return spread_join(rows, grouped, "code", "row").select("doc_id", "code", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, segments: int = 3, count: int = 1, max_total: int | None = None, sure_total: int | None = None, least: float | None = None) -> DataFrame:
-    """``docs`` with one row of each component: that with the least id, of equal ids the first saved. With ``least``, links of
-    more than ``sure_total`` bits are held against the exact Jaccard similarity of their shingles."""
-    held = saved(fingerprints(docs, docs.columns, text_col, shingle, count), "simhash")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, count: int = 12, missed: float = 0.01) -> DataFrame:
+    """``docs`` with one row of each component: that with the least id, of equal ids the first saved. Documents link at a
+    Jaccard similarity of ``least`` or more by their different shingles; a pair at ``least`` is missed with a probability of
+    about ``missed``, one above it with less. Documents that agree in all ``count`` fingerprints are copies."""
+    held = saved(fingerprints(docs, docs.columns, text_col, shingle, count, repeats=False), "simhash")
     rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
-    alike = None if least is None else functools.partial(_alike, held=held, text_col=text_col, shingle=shingle, least=least)
-    grouped = rows.join(groups(rows, count, max_distance, segments, max_total, sure_total, alike), "code", "left")
+    # in another fingerprint, a pair at ``least`` differs in more bits than this once in 100,000
+    q = differing(least)
+    max_check = round(64 * q + 4.3 * math.sqrt(64 * q * (1 - q)))
+    grouped = spread_join(rows, groups(rows, lambda n: Lookups(likely_plan(n, count, least, missed), count, max_check), Alike(held, text_col, shingle, count, least)), "code", "row")
     # the least id first, then the least row among those that have it; both are summed up before a shuffle
     first = grouped.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
     return held.join(first.select("row"), "row", "left_semi").select("keep.*")
