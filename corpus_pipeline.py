@@ -16,8 +16,8 @@ from tidemark.llm.common import free_name, saved
 from tidemark.llm.queries import tokenizer_path
 
 
-#: Near duplicates: their shingles, fingerprints and distances.
-NEAR = {"shingle": 5, "max_distance": 7, "segments": 4, "count": 12, "max_total": 146, "sure_total": 84, "least": 0.8}
+#: Near duplicates: words of a shingle, the similarity of a link, fingerprints, and the probability that a link is missed.
+NEAR = {"shingle": 5, "least": 0.8, "count": 12, "missed": 0.01}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id (of repeated rows, one).
-
-    Five-word shingles, and twelve fingerprints: documents of similarity 0.8 differ in 15 % of all bits on average,
-    but in one fingerprint that scatters widely, so a pair may be found by any of the twelve. It is a link if it
-    differs in 84 of the 768 bits at most, and up to 146 if the exact Jaccard similarity is 0.8 or more."""
+    """One document of each group of near duplicates stays: the one with the least id (of repeated rows, one). Near
+    duplicates have a Jaccard similarity of 0.8 or more by five-word shingles, or are joined by such."""
     return simhash.deduplicated(docs, **NEAR)
 
 
