@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -77,3 +78,22 @@ def test_frames(docs, plain_rows, library):
     again = spm.decode(spm.encode(docs, PATH).selectExpr("*", "'x' as `a.b`"), PATH, out_col="back")
     assert Counter(r["back"] for r in again.collect()) == Counter(r["decoded"] for r in both)
     assert spm.encode(docs.limit(0), PATH).collect() == []
+
+
+@pytest.mark.parametrize("text", [
+    " " * 10**6, "  " + "a" * 10**6, "x  " + "abc" * 300_000 + "  y", "   " + "".join(random.Random(9).choices("abcdeeettaaoiin-=.", k=10**6)), " " * 999 + "é漢" * 1000 + " " * 77,
+])
+def test_long_runs_and_words(library, text):
+    """In a time that grows with the length, and with the library's ids."""
+    model, start = spm.Model(PATH), time.time()
+    (data,) = model.encode(pa.array([text]))
+    assert time.time() - start < 20 and np.frombuffer(data, "<u4").tolist() == library.encode(text)
+    assert model.decode(data) == text
+
+
+def test_runs_by_merges(library):
+    """The pieces of a run, by its length and by the merges themselves."""
+    model = spm.Model(PATH)
+    assert model.simple_runs
+    for n in range(1, 120):
+        assert np.frombuffer(model._run(n), "<u4").tolist() == [model.ids[p] for p in model.merge("▁" * n)[0]]

@@ -12,7 +12,12 @@ found by undoing the two pieces' own merges, the latest first, and asking at eac
 at the border join earlier than the undone merge.
 
 A text's spaces become the mark U+2581, one more is put in front, and a piece has the mark only in front, so a
-text is encoded word by word. Characters that the model hasn't got become bytes.
+text is encoded word by word. Characters that the model hasn't got become bytes. Where several marks stand before a
+word, all but the last are a run, whose pieces follow from its length; the last is part of the word, unless the word's
+path leaves it alone, and then it belongs to the run.
+
+A very long word is cut into chunks that overlap, which are words of equal length. Two chunks' paths join where
+both have the same piece before the same border: every border then stands, so the joined path is the one.
 
 Defined results: a null or empty text has no ids; repeated rows each keep a row; the mark itself, standing in
 a text, decodes to a space, as in the library; other columns are not read. An empty table gives an empty result.
@@ -21,7 +26,7 @@ a text, decodes to a space, as in the library; other columns are not read. An em
 from __future__ import annotations
 
 import functools
-import re
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +40,14 @@ from tidemark.llm.common import arrow_map, mapped, named
 from tidemark.llm.words import WordTable, grouped
 
 MARK = "▁"
-_UNIT = re.compile(f"{MARK}*[^{MARK}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of equally long words that advance at once.
 _STEP_CHARS = 1 << 17
 #: Words, and parts of words, that a Python worker remembers with their ids.
 REMEMBERED = 300_000
 _UNKNOWN = -1
+#: Characters of a chunk of a long word, and those that the next chunk repeats; words of more than LONG are cut.
+CHUNK, OVERLAP, LONG = 256, 64, 512
 
 
 class _Keys:
@@ -104,7 +110,7 @@ class Model:
         self.decoded = [bytes([int(t[3:5], 16)]) if i in set(self.byte_ids.values()) else b"" if special[i] else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
         self.decoded[self.unknown_id] = " ⁇ ".encode()
         self.table = WordTable(self._learn, REMEMBERED)
-        self.parts = WordTable(self.encode_units, REMEMBERED)
+        self.parts = WordTable(self.encode_parts, REMEMBERED)
 
     def _hash(self, text: str) -> np.uint64:
         out = 0
@@ -113,18 +119,48 @@ class Model:
         return np.uint64(out)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
-        """The merges' encoding of a text, one pair at a time, and the last pair that was merged."""
-        parts, last = list(text), None
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if best is None:
-                return parts, last
-            last = (parts[at], parts[at + 1])
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """The merges' encoding of a text, the best pair first and of equal ones the left, and the last pair that was
+        merged."""
+        parts: list[str] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, str, int]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                whole = parts[k] + parts[after[k]]
+                if whole in self.ids:
+                    heapq.heappush(queue, (-self.score[self.ids[whole]], k, whole, after[k]))
+
+        for k in range(len(parts)):
+            offer(k)
+        last = None
+        while queue:
+            _, k, whole, right = heapq.heappop(queue)
+            if not parts[k] or after[k] != right or parts[k] + parts[right] != whole:
+                continue  # one of the two has been merged since
+            last = (parts[k], parts[right])
+            parts[k], parts[right] = whole, ""
+            after[k] = after[right]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [p for p in parts if p], last
+
+    def _run(self, n: int) -> bytes:
+        """The ids of ``n`` marks. Merges of runs are all equal, so the leftmost possible one always comes next: a stack of
+        pieces takes one mark after the other, and its last two join whenever they can."""
+        known = self.known_runs.get(n)
+        if known is None:
+            stack: list[int] = []
+            for _ in range(n):
+                stack.append(1)
+                while len(stack) > 1 and stack[-2] + stack[-1] in self.run_ids:
+                    stack[-2:] = [stack[-2] + stack[-1]]
+            known = np.array([self.run_ids[k] for k in stack], "<u4").tobytes()
+            if len(self.known_runs) < 4096 and n <= 4096:
+                self.known_runs[n] = known
+        return known
 
     def _split_tables(self, ids: np.ndarray) -> np.ndarray:
         """For each piece its last merge, and the pieces that merges ever make. Runs of marks are set apart: their
@@ -148,6 +184,11 @@ class Model:
         for side in (self.left, self.right):
             if not (self.rank[side[long]] > self.rank[long]).all():
                 raise ValueError("a piece is merged before its parts")
+        # runs of marks are simple if their merges are equal and come after all others
+        self.run_ids = {len(t): self.ids[t] for t in self.runs | {MARK} if t in self.ids}
+        scores = {self.score[self.ids[t]] for t in self.runs}
+        self.simple_runs = 1 in self.run_ids and len(scores) <= 1 and all(self.score[long].min() > s for s in scores)
+        self.known_runs: dict[int, bytes] = {}
         return made_array
 
     def stands(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,24 +274,68 @@ class Model:
                 at += len(self.text[i])
         return np.array(ids, "<u4").tobytes()
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids of units, each with its marks in front."""
-        known: dict[str, bytes] = {}
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of words, or parts of words, with one mark in front at most."""
+        known: dict[str, bytes] = {"": b""}
         by_length: dict[int, list[str]] = {}
-        for u in dict.fromkeys(units):
-            if self.kind == "bpe" and u.startswith(MARK * 2):  # runs of marks are merged pair by pair
-                path = [self.ids.get(p, _UNKNOWN) for p in self.merge(u)[0]]
-                known[u] = self._bytes_of(np.array(path), u)
+        for u in dict.fromkeys(parts):
+            if self.kind == "bpe" and len(u) > LONG:
+                known[u] = self._bytes_of(self._long(u), u)
             elif u:
                 by_length.setdefault(len(u), []).append(u)
-            else:
-                known[u] = b""
+        for words, paths in self._paths(by_length):
+            known |= {w: self._bytes_of(p, w) for w, p in zip(words, paths)}
+        return [known[u] for u in parts]
+
+    def _paths(self, by_length: dict[int, list[str]]) -> Iterator[tuple[list[str], list[np.ndarray]]]:
         for length, words in by_length.items():
             step = max(1, _STEP_CHARS // length)
             for k in range(0, len(words), step):
-                part = words[k : k + step]
-                known |= {w: self._bytes_of(p, w) for w, p in zip(part, self.viterbi(part))}
-        return [known[u] for u in units]
+                yield words[k : k + step], self.viterbi(words[k : k + step])
+
+    def _long(self, word: str) -> np.ndarray:
+        """Ids of a long part of a word, by chunks. Its characters are all in the model."""
+        known: dict[str, np.ndarray] = {}
+
+        def learn(chunks: list[str]) -> None:
+            fresh: dict[int, list[str]] = {}
+            for c in dict.fromkeys(chunks):
+                if c not in known:
+                    fresh.setdefault(len(c), []).append(c)
+            for words, paths in self._paths(fresh):
+                known.update(zip(words, paths))
+
+        def placed(start: int) -> tuple[np.ndarray, np.ndarray]:
+            chunk = word[start : start + CHUNK]
+            learn([chunk])
+            return known[chunk], start + np.cumsum(self.length[known[chunk]])
+
+        starts = list(range(0, max(1, len(word) - OVERLAP), CHUNK - OVERLAP))
+        learn([word[s : s + CHUNK] for s in starts])
+        out: list[np.ndarray] = []
+        path, ends = placed(0)
+        while ends[-1] < len(word):
+            # the planned chunk that starts in this one's last part, or one that starts at a border of it
+            start = starts[min(len(starts) - 1, -(-(int(ends[-1]) - OVERLAP) // (CHUNK - OVERLAP)))]
+            joined = None
+            if start < ends[-1]:
+                more, more_ends = placed(start)
+                _, mine, theirs = np.intersect1d(ends, more_ends, assume_unique=True, return_indices=True)
+                same = np.flatnonzero(path[mine] == more[theirs])
+                if len(same):
+                    at = same[(len(same) - 1) // 2]
+                    joined = mine[at] + 1, more[theirs[at] + 1 :], more_ends[theirs[at] + 1 :]
+            for k in range(len(path) - 2, -1, -1) if joined is None else ():
+                if ends[k] <= ends[-1] - self.longest:
+                    more, more_ends = placed(int(ends[k]))
+                    if self.stands(path[k : k + 1], more[:1])[0]:
+                        joined = k + 1, more, more_ends
+                        break
+            if joined is None:
+                return self.viterbi([word])[0]
+            out.append(path[: joined[0]])
+            path, ends = joined[1:]
+        return np.concatenate([*out, path])
 
     def _cut(self, words: list[str]) -> list[list[str]]:
         """Each word cut where two characters meet that meet in no piece: nothing is ever joined there."""
@@ -268,24 +353,32 @@ class Model:
         return [parts[a:b] for a, b in zip(firsts, firsts[1:])]
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words that a single space, or the start, stands before."""
-        cut = self._cut([MARK + w for w in words])
+        """Ids of words with a mark in front, and any marks more that they begin with."""
+        bare = [w.lstrip(MARK) for w in words]
+        cut = self._cut([MARK + w for w in bare])
         parts = list({p for c in cut for p in c})
         known = dict(zip(parts, self.parts.look_up(parts)))
-        return [b"".join([known[p] for p in c]) for c in cut]
+        return [self._after_run(w, len(w) - len(b), b"".join([known[p] for p in c])) if len(w) > len(b) else b"".join([known[p] for p in c]) for w, b, c in zip(words, bare, cut)]
+
+    def _after_run(self, word: str, marks: int, ids: bytes) -> bytes:
+        """``ids``, those of the bare word with one mark, after a run of ``marks`` marks more."""
+        if self.kind != "bpe":
+            return self._bytes_of(self.viterbi([MARK + word])[0], MARK + word)
+        if not self.simple_runs:
+            return self._bytes_of(np.array([self.ids.get(p, _UNKNOWN) for p in self.merge(MARK + word)[0]]), MARK + word)
+        alone = ids[:4] == np.array([self.run_ids[1]], "<u4").tobytes()
+        return self._run(marks + 1) + ids[4:] if alone else self._run(marks) + ids
 
     def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         odd = pc.match_substring_regex(texts, f"^ |  |{MARK}")
-        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        plain = self.table.encode(pc.split_pattern(pc.if_else(odd, "", texts), " "))
-        for k, (data, is_odd) in enumerate(zip(plain, odd.to_numpy(zero_copy_only=False).tolist())):
-            if is_odd:
-                text = texts[k].as_py()
-                units = [u for u in _UNIT.findall(MARK + text.replace(" ", MARK)) if u]
-                yield b"".join(self.encode_units(units))
-            else:
-                yield b"" if empty[k] else bytes(data)
+        if pc.any(odd).as_py():
+            # of several marks the first ends a word, and the others begin the next one
+            marked = pc.replace_substring(texts.filter(odd), " ", MARK)
+            texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(marked, f"([^{MARK}]){MARK}", r"\1 "))
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False).tolist()
+        for data, none in zip(self.table.encode(pc.split_pattern(texts, " ")), empty):
+            yield b"" if none else bytes(data)
 
     def decode(self, data: bytes) -> str:
         text = b"".join(map(self.decoded.__getitem__, np.frombuffer(data, "<u4").tolist())).decode("utf-8", "replace")
