@@ -109,11 +109,50 @@ def test_all_visible_words_stand_in_order():
         assert got == words.words, page
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<table><tr><td>" * 300 + "x", "<ul><li>" * 3000 + "x", '<b a="' * 3000, "<p><b>" * 5000, "<table>x" * 2000, "<a><div>" * 3000, "<td colspan=1000 rowspan=60000>x" * 50, "<table><tr>" + "<td colspan=1000 rowspan=0>x" * 50, "<!--" * 5000, "</p>" * 5000])
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<table><tr><td>" * 300 + "x", "<ul><li>" * 3000 + "x", '<b a="' * 3000, "<p><b>" * 5000, "<table>x" * 2000, "<a><div>" * 3000, "<td colspan=1000 rowspan=60000>x" * 50, "<table><tr>" + "<td colspan=1000 rowspan=0>x" * 50, "<!--" * 5000, "</p>" * 5000, "<table><tr><td>x<td>" * 3000, "<ul><li>x" * 20_000, "".join(f"<table><tr><td colspan={k}><td>x</table>" for k in range(1000)), "".join(f"<tr><td colspan={k} rowspan={9000 - k}>x" for k in range(1, 3000))])
 def test_odd_pages_end(page):
     assert isinstance(html.render(page), str)
 
 
+def test_spans_take_little_memory():
+    import tracemalloc
+
+    page = "<table>" + "<tr><td colspan=1000 rowspan=0>x" * 2500
+    assert len(page) > 80_000
+    tracemalloc.start()
+    text = html.render(page)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    lines = text.split("\n")
+    assert len(lines) == 2500 and all(line.strip() == "x" for line in lines)
+    assert [len(line) for line in lines[:3]] == [1, 4, 7] and max(map(len, lines)) == 1001
+
+
+def test_no_caps():
+    """Wide spans, long numbers and deep tables are laid out like any others."""
+    assert html.render("<table><tr><td colspan=5000>a<td>b<tr><td>c<td colspan=4999>d<td>e</table>") == "a     b\nc  d  e"
+    assert html.render("<ol start=123456789012><li>x</ol>") == "123456789012. x"
+    assert html.render("<ol start=99999999999999999999><li>x</ol>") == html.render(f"<ol start={'9' * 6000}><li>x</ol>") == "1. x"
+    deep = "x<td>y"
+    for _ in range(60):
+        deep = f"<table><tr><td>a<td>{deep}</table>"
+    lines = [line for line in html.render(deep).split("\n") if line.strip()]
+    assert lines[-1].endswith("x  y") and lines[-1].index("x") == 3 * 60
+
+
+@pytest.mark.parametrize("rows", [3, 4000])
+def test_alignment_is_the_same_at_every_size(rows):
+    page = "<table>" + "<tr><td>name<td>k<td>1" * rows + "<tr><td>a longer name<td>v<td>2" + "<tr><td>" + "long " * 300 + "<td>w<td>3"
+    first, last = html.render(page).split("\n")[0], html.render(page).split("\n")[-1]
+    assert first == "name  k  1" and last == "long " * 299 + "long  w  3"
+    assert html.render(page, width=2000).split("\n")[0] == "name" + " " * 1497 + "k  1"
+
+
+def test_numbers_against_integers():
+    for text, want in [("7", 7), (" -3x", -3), ("+0012", 12), ("000000000000000000000000005", 5), ("x", 9), ("", 9), ("-", 9), ("1" * 18, int("1" * 18)), ("1" * 19, 9), (None, 9), ("0", 0)]:
+        assert html._int(text, 9) == want, text
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>a"), (2, None, None), (None, "x", ""), (1, "u", "<p>a"), (3, "l", "<p>word " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'own' as text", "1 as `a.b`")

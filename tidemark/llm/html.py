@@ -8,10 +8,13 @@ laid out as text: collapsed white space, lines for blocks and blank lines around
 and indented list items, preformatted text as it stands, and tables with their cells aligned in columns over
 row and column spans.
 
-Defined results: null or empty html gives an empty text; html of any nesting is read without recursion, but
-tables nested deeper than TABLE_DEPTH lose their columns; a table whose padding would be far larger than its
-text has tabs between cells; repeated rows each keep a row; other columns are not read. An empty table gives an
-empty result.
+Alignment and indentation reach as far as ``width`` characters from the left: a cell whose column starts further right
+follows two spaces after the one before it, and deeper items aren't indented more. So the padding of a line is
+bounded whatever a page's columns and nesting.
+
+Defined results: null or empty html gives an empty text; html and tables of any nesting are read and laid out
+without recursion; spans are as wide and high as the page says; a number of more than 18 digits counts as none;
+repeated rows each keep a row; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Generator
 from typing import Any
 
 import pyarrow as pa
@@ -26,8 +31,6 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import arrow_map, column_texts, named
 
-TABLE_DEPTH = 20
-
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -275,7 +278,8 @@ def _width(text: str) -> int:
 class Flow:
     """Lines of text under construction."""
 
-    def __init__(self) -> None:
+    def __init__(self, width: int) -> None:
+        self.width = width
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.ended_in_space = True
@@ -283,6 +287,9 @@ class Flow:
         self.indent = [""]
         self.marker = ""
 
+    def deepen(self, more: int) -> None:
+        self.indent.append(self.indent[-1] + " " * max(0, min(more, self.width - len(self.indent[-1]))))
+
     def _lead(self) -> str:
         if self.marker:
             lead = self.indent[-2] + self.marker.ljust(len(self.indent[-1]) - len(self.indent[-2])) if len(self.indent) > 1 else self.marker
@@ -311,6 +318,18 @@ class Flow:
         self.gap = 0
         self.lines.append((self._lead() + line.replace("\xa0", " ")).rstrip())
 
+    def put_all(self, lines: list[str]) -> None:
+        """Lines that are laid out already."""
+        if lines and not self._bare():
+            for line in lines:
+                self._put(line)
+        elif lines:
+            self._put(lines[0])
+            self.lines += lines[1:]
+
+    def _bare(self) -> bool:
+        return not self.indent[-1] and not self.marker
+
     def new_line(self) -> None:
         """A line break: an empty line where nothing stands."""
         if self.parts:
@@ -356,13 +375,54 @@ def _number(n: int, kind: str) -> str:
 
 
 def _int(text: str | None, default: int) -> int:
-    m = re.match(r"\s*([+-]?[0-9]{1,9})", text or "")
-    return int(m[1]) if m else default
+    m = re.match(r"\s*([+-]?)0*+([0-9]{0,19})", text or "")
+    if not m or not re.match(r"\s*[+-]?[0-9]", text or "") or len(m[2]) > 18:
+        return default
+    return int(m[1] + (m[2] or "0"))
+
+
+#: A layout in progress: it gives the layouts it needs first, takes their lines, and returns its own.
+Layout = Generator["Layout", list[str], Any]
+
+
+def _laid_out(first: Layout) -> list[str]:
+    """Runs a layout and those inside of it on a stack of its own."""
+    stack, lines = [first], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(lines))
+            lines = None
+        except StopIteration as e:
+            stack.pop()
+            lines = e.value
+    return lines
+
+
+class Spans:
+    """Grid columns that cells of rows above still cover: ``[start, end, last row]`` by start, those that touch and end in the
+    same row as one."""
+
+    def __init__(self) -> None:
+        self.held: list[list[int]] = []
+
+    def row(self, y: int) -> list[list[int]]:
+        """The columns covered in a row."""
+        self.held = [h for h in self.held if h[2] >= y]
+        return self.held
+
+    def add(self, new: list[list[int]]) -> None:
+        out: list[list[int]] = []
+        for h in sorted(self.held + new) if new else self.held:
+            if out and out[-1][2] == h[2] and h[0] <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], h[1])
+            else:
+                out.append(h)
+        self.held = out
 
 
 class Renderer:
-    def __init__(self, styles: Styles):
-        self.styles = styles
+    def __init__(self, styles: Styles, width: int = 1000):
+        self.styles, self.width = styles, width
 
     def shown(self, node: Node, visible: bool) -> tuple[bool, bool]:
         """Whether the element takes part in the layout, and whether its own text shows."""
@@ -377,9 +437,9 @@ class Renderer:
             visible = style["visibility"] not in ("hidden", "collapse")
         return True, visible
 
-    def flow(self, children: list[Any], visible: bool, depth: int, pre: bool = False) -> list[str]:
+    def flow(self, children: list[Any], visible: bool, pre: bool = False) -> Layout:
         """The lines of some nodes. The walk keeps its own stack: a callable is an element's end."""
-        out = Flow()
+        out = Flow(self.width)
         stack: list[Any] = [(c, visible, pre) for c in reversed(children)]
         counters: list[list[Any]] = []
         while stack:
@@ -403,8 +463,8 @@ class Renderer:
                 if seen and node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "file", "image", "password", "range", "color"):
                     out.text(" " + node.attrs.get("value", "") + " ")
                 continue
-            if tag == "table" and depth < TABLE_DEPTH:
-                self.table(node, seen, depth, out)
+            if tag == "table":
+                yield from self.table(node, seen, out)
                 continue
             spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and counters)
             if tag == "details" and "open" not in node.attrs:
@@ -426,14 +486,14 @@ class Renderer:
                     n = _int(node.attrs.get("value"), now[1])
                     now[1] = n + now[2]
                     marker = _number(n, now[3]) + ". "
-                out.indent.append(out.indent[-1] + " " * len(marker))
+                out.deepen(len(marker))
                 if seen:
                     out.marker = marker
                 stack.append(lambda: self._leave(out))
             elif tag in ("blockquote", "dd"):
-                out.indent.append(out.indent[-1] + "    ")
+                out.deepen(4)
                 stack.append(lambda: self._leave(out))
-            elif tag in ("td", "th"):  # a cell outside of a table, or of one too deep
+            elif tag in ("td", "th"):  # a cell outside of a table
                 out.text(" ")
             elif tag == "q" and seen:
                 out.text("“")
@@ -448,7 +508,7 @@ class Renderer:
             out._put("")
         out.indent.pop()
 
-    def table(self, table: Node, visible: bool, depth: int, out: Flow) -> None:
+    def table(self, table: Node, visible: bool, out: Flow) -> Layout:
         out.block(True)
         rows: dict[str, list[tuple[Node, bool]]] = {"thead": [], "tbody": [], "tfoot": []}
         for part in table.children:
@@ -458,8 +518,7 @@ class Renderer:
             if not on:
                 continue
             if part.tag == "caption":
-                for line in self.flow(part.children, seen, depth + 1):
-                    out._put(line)
+                out.put_all((yield self.flow(part.children, seen)))
             elif part.tag in rows:
                 for row in part.children:
                     if isinstance(row, Node):
@@ -469,82 +528,88 @@ class Renderer:
             else:
                 rows["tbody"].append((part, seen))
         grid = [r for name in ("thead", "tbody", "tfoot") for r in rows[name]]
-        taken: dict[tuple[int, int], bool] = {}
+        spans = Spans()
         cells: list[list[tuple[int, int, list[str]]]] = []
         for y, (row, row_seen) in enumerate(grid):
-            x, line = 0, []
+            covered, at, x = spans.row(y), 0, 0
+            line, lasting = [], []
             for cell in row.children if row.tag == "tr" else [row]:
                 if not isinstance(cell, Node):
                     continue
                 on, seen = self.shown(cell, row_seen)
                 if not on:
                     continue
-                while taken.pop((y, x), False):
-                    x += 1
-                wide = min(max(1, _int(cell.attrs.get("colspan"), 1)), 1000)
+                while at < len(covered) and covered[at][0] <= x:
+                    x = max(x, covered[at][1])
+                    at += 1
+                wide = max(1, _int(cell.attrs.get("colspan"), 1))
                 high = _int(cell.attrs.get("rowspan"), 1)
-                high = min(high if high > 0 else len(grid), len(grid) - y)
-                line.append((x, wide, self.flow(cell.children, seen, depth + 1)))
-                for down in range(1, high):
-                    for k in range(wide):
-                        taken[y + down, x + k] = True
+                last = len(grid) - 1 if high <= 0 else min(y + high, len(grid)) - 1
+                line.append((x, wide, (yield self.flow(cell.children, seen))))
+                if last > y:
+                    lasting.append([x, x + wide, last])
                 x += wide
+            spans.add(lasting)
             cells.append(line)
         self.align(cells, out)
         out.block(True)
 
-    @staticmethod
-    def align(cells: list[list[tuple[int, int, list[str]]]], out: Flow) -> None:
+    def align(self, cells: list[list[tuple[int, int, list[str]]]], out: Flow) -> None:
         used = sorted({x for row in cells for x, _, lines in row if any(lines)})
-        column = {x: k for k, x in enumerate(used)}
+        if len(used) == 1:
+            for row in cells:
+                for _, _, lines in row:
+                    if any(lines):
+                        out.put_all(lines)
+            return
         widths = [0] * len(used)
-        chars = 0
+        spread = []
         for row in cells:
             for x, wide, lines in row:
                 if any(lines):
+                    first, end = bisect_left(used, x), bisect_left(used, x + wide)
                     longest = max(map(_width, lines))
-                    chars += sum(map(len, lines))
-                    if not any(o in column for o in range(x + 1, x + wide)):
-                        widths[column[x]] = max(widths[column[x]], longest)
-        for row in cells:  # then the columns under a wide cell grow, the last of them
-            for x, wide, lines in row:
-                under = [column[o] for o in range(x, x + wide) if o in column]
-                if any(lines) and len(under) > 1:
-                    lack = max(map(_width, lines)) - sum(widths[k] for k in under) - 2 * (len(under) - 1)
-                    widths[under[-1]] += max(0, lack)
-        starts = [0]
-        for w in widths:
-            starts.append(starts[-1] + w + 2)
-        heights = [max((len(lines) for _, _, lines in row), default=0) for row in cells]
-        tabs = starts[-1] * sum(heights) > 100_000 + 20 * chars
-        for row, height in zip(cells, heights):
-            for k in range(height):
-                line, at = "", 0
-                for x, _, lines in row:
-                    if x in column and k < len(lines) and lines[k]:
-                        if tabs:
-                            line += ("\t" if line else "") + lines[k]
-                        else:
-                            line += " " * max(starts[column[x]] - at, 2 if line else 0) + lines[k]
-                            at = _width(line)
-                out._put(line)
-
-
-def render(page: str) -> str:
+                    if end == first + 1:
+                        widths[first] = max(widths[first], longest)
+                    else:
+                        spread.append((first, end, longest))
+        for first, end, longest in spread:  # then the columns under a wide cell grow, the last of them
+            widths[end - 1] += max(0, longest - sum(widths[first:end]) - 2 * (end - first - 1))
+        starts = {}
+        at = 0
+        for x, w in zip(used, widths):
+            starts[x] = at
+            at += w + 2
+        for row in cells:
+            shown = [(starts[x], lines) for x, _, lines in row if any(lines)]
+            for k in range(max((len(lines) for _, lines in shown), default=0)):
+                parts, at = [], 0
+                for start, lines in shown:
+                    if k < len(lines) and lines[k]:
+                        if parts:
+                            pad = max(2, start - at) if start <= self.width else 2
+                        else:  # leading space is bounded over all nested tables
+                            pad = max(0, min(start, self.width - len(lines[k]) + len(lines[k].lstrip(" "))))
+                        parts.append(" " * pad + lines[k])
+                        at += pad + _width(lines[k])
+                out._put("".join(parts))
+
+
+def render(page: str, width: int = 1000) -> str:
     """The visible text of a page."""
     builder = Builder()
     root = builder.feed(page)
-    renderer = Renderer(Styles(builder.sheets))
+    renderer = Renderer(Styles(builder.sheets), width)
     on, seen = renderer.shown(root, True)
-    lines = renderer.flow(root.children, seen, 0) if on else []
+    lines = _laid_out(renderer.flow(root.children, seen)) if on else []
     return "\n".join(lines).strip("\n")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", width: int = 1000) -> DataFrame:
     """``(page_id, text)`` for every row of ``pages``."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(render, column_texts(batch, 1))), pa.string())], ["page_id", "text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(t, width) for t in column_texts(batch, 1)], pa.string())], ["page_id", "text"])
 
     page_id, html = named([id_col, html_col])
     return arrow_map(pages.select(page_id.alias("page_id"), html.alias("html")), make, f"page_id {dict(pages.dtypes)[id_col]}, text string")
