@@ -59,6 +59,18 @@ def test_added_spans():
     assert pii.spans("The account of the river is in secret: nothing. Tokens and passwords are words.") == []
 
 
+def test_schemes_are_whole():
+    for scheme in ("a", "https", "x-long-scheme.with+marks-of-any-length-at-all", "s" * 5000):
+        assert pii.redacted(f"(see {scheme}://jo:pw@host.example/x) 1.2-{scheme}://jo:pw@host") == "(see <url> 1.2-<url>"
+    assert pii.redacted("1://jo:pw@host") == "1://jo:pw@host"
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "jo@a.example"), (None, None)], "`doc.id` long, `te.xt` string")
+    assert {(r["doc_id"], len(r["spans"])) for r in pii.find(df, "doc.id", "te.xt").collect()} == {(1, 1), (None, 0)}
+    assert {r["te.xt"] for r in pii.redact(df, "te.xt").collect()} == {"<email>", None}
+
+
 def test_find_and_redact(docs, plain_rows):
     got = Counter((r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"])) for r in pii.find(docs).collect())
     assert got == Counter((i, tuple(pii.spans(t or ""))) for i, t in plain_rows)
