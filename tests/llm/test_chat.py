@@ -22,12 +22,12 @@ def brute(rows):
 
 def joined(df):
     out = {}
-    for r in sorted(df.collect(), key=lambda r: r["first_turn"]):
-        n, text, turns = out.get(r["conv_id"], (1, "", 0))
-        assert r["first_turn"] == turns + 1
-        out[r["conv_id"]] = (r["copies"], text + r["rendered"], turns + r["turns"])
-        assert r["turns"] <= chat.STRETCH + 5
-    return {c: (k, n, t) for c, (k, t, n) in out.items()}
+    for r in sorted(df.collect(), key=lambda r: r["position"]):
+        copies, n, text, seen = out.get(r["conv_id"], (r["copies"], r["n_turns"], "", 0))
+        assert (r["position"], r["copies"], r["n_turns"]) == (seen + 1, copies, n)
+        out[r["conv_id"]] = (copies, n, text + r["rendered"], seen + 1)
+    assert all(n == seen for _, n, _, seen in out.values())
+    return {c: (copies, n, text) for c, (copies, n, text, _) in out.items()}
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +45,33 @@ def rows():
 
 def test_against_brute_force(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'own' as stretch", "1 as n", "'x' as `a.b`").repartition(5)
-    assert joined(chat.render(df)) == brute(rows)
+    rendered = chat.render(df)
+    assert joined(rendered) == brute(rows)
+    assert {r["conv_id"]: (r["copies"], r["n_turns"], r["rendered"]) for r in chat.conversations(rendered).collect()} == brute(rows)
+    with pytest.raises(Exception, match="more than 150 turns"):
+        chat.conversations(rendered, 150).collect()
+
+
+@pytest.mark.parametrize("conv,turn", [("null", "null"), ("null", "id"), ("7", "3"), ("null", "if(id % 2 = 0, null, 5)")])
+def test_one_key_for_all_rows(spark, conv, turn):
+    """Very many rows under one id, with no number, one number or numbers of their own, and a third of them equal."""
+    df = spark.range(100_000).selectExpr(f"cast({conv} as long) as conv_id", f"cast({turn} as long) as turn", "'user' as role", "if(id % 3 = 0, 'same', concat('text ', id)) as text")
+    got = chat.render(df)
+    counted = got.selectExpr("count(*) as n", "count(distinct position) as places", "min(position) as least", "max(position) as most", "min(n_turns) as a", "max(n_turns) as b", "count(distinct rendered) as texts").first()
+    n = df.distinct().count()
+    assert tuple(counted) == (n, n, 1, n, n, n, df.select("text").distinct().count())
+
+
+def test_chunks_are_bounded(spark):
+    """No chunk of a conversation is larger than a range partition."""
+    df = spark.range(100_000).selectExpr("cast(null as long) as conv_id", "cast(null as long) as turn", "'user' as role", "concat('text ', id) as text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        turns = chat._turns(df, "conv_id", "turn", "role", "text").select(*chat._KEY)
+        sizes = [r["count"] for r in turns.repartitionByRange(8, *chat._KEY).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * 100_000 / 8
 
 
 def test_no_python(spark, rows):

@@ -105,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": sql.warc(),
-        "op5_chat_formatting": sql.chat(chat.STRETCH),
+        "op5_chat_formatting": sql.chat(),
         "op7_url_filter": sql.url_filter(RULES, LISTED),
         "op9_quality": sql.quality(),
         "op10_embedding_near_dedup": sql.vectors(),

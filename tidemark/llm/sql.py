@@ -19,15 +19,14 @@ def warc() -> str:
     )
 
 
-def chat(stretch: int) -> str:
-    return f"""
+def chat() -> str:
+    return """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list(role || chr(31) || text ORDER BY turn, role, text) AS l, count(*) AS n FROM t GROUP BY conv_id),
 r AS (SELECT l, n, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY l, n),
-k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > r.n AND c.l[1:r.n] = r.l)),
-s AS (SELECT t.conv_id, turn // {stretch} AS stretch, count(*) AS turns, any_value(k.n) AS n_turns, any_value(k.copies) AS copies,
-  string_agg('<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM t JOIN k ON t.conv_id = k.conv_id GROUP BY 1, 2)
-SELECT conv_id, CAST(1 + coalesce(sum(turns) OVER (PARTITION BY conv_id ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_turn, turns, n_turns, copies, rendered FROM s"""
+k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n > r.n AND c.l[1:r.n] = r.l))
+SELECT t.conv_id, row_number() OVER (PARTITION BY t.conv_id ORDER BY turn, role, text) AS position, k.n AS n_turns, k.copies,
+  '<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered FROM t JOIN k ON t.conv_id = k.conv_id"""
 
 
 def url_filter(rules: list, listed: list[str]) -> str:
