@@ -10,7 +10,8 @@ judged in several calls, whose blocks add up.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed;
 repeated rows each keep a row; other columns pass through untouched; null or empty listed keys are ignored;
-an empty list allows everything that no rule blocks. An empty table gives an empty result.
+an empty list allows everything that no rule blocks; an input column named like ``out_col`` gives way to it. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,17 +158,22 @@ def _through(keys: DataFrame, level: Bloom) -> DataFrame:
     return arrow_map(keys, make, keys.schema)
 
 
-def cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = 12, hashes: int = 8, max_bytes: int = 64 << 20) -> Cascade:
-    """The cascade of ``listed(key)`` over ``universe(key)``."""
-    inside = listed.select("key").where("key <> ''").distinct().select("key", *[h.alias(n) for h, n in zip(key_hashes(F.col("key")), ("h1", "h2"))])
-    inside = saved(inside, "listed")
-    outside = universe.select("key").where("key <> ''").distinct().select("key", *[h.alias(n) for h, n in zip(key_hashes(F.col("key")), ("h1", "h2"))])
+class TooLarge(ValueError):
+    """Filters that would take more than their bound."""
+
+
+def _hashed(keys: DataFrame) -> DataFrame:
+    return keys.select("key").where("key <> ''").distinct().select("key", *[h.alias(n) for h, n in zip(key_hashes(F.col("key")), ("h1", "h2"))])
+
+
+def cascade(inside: DataFrame, outside: DataFrame, bits_per_key: int = 12, hashes: int = 8, max_bytes: int = 64 << 20) -> Cascade:
+    """The cascade of the listed keys ``inside(key, h1, h2)`` over the universe ``outside(key, h1, h2)``."""
     levels: list[Bloom] = []
     encode, other, held = inside, outside, 0
     while n := encode.count():
         held += n * bits_per_key // 8
         if held > max_bytes:
-            raise ValueError(f"the filters would take over {max_bytes} bytes; judge the list in several parts")
+            raise TooLarge(f"the filters would take over {max_bytes} bytes")
         levels.append(_filter(encode, n, len(levels), bits_per_key, hashes))
         let = _through(other, levels[-1])
         if len(levels) == 1:  # the universe's own listed keys are no mistakes
@@ -177,27 +183,70 @@ def cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = 12, hash
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col: str = "url", out_col: str = "judged") -> DataFrame:
-    """``pages`` with a struct ``out_col``: ``host``, ``path``, ``rule`` and ``verdict``."""
-    url = named([url_col])[0]
-    hosts = pages.select(host(url).alias("host")).distinct()
-    universe = hosts.select(F.explode(domain_keys(F.col("host"))).alias("key"))
-    sent = pages.sparkSession.sparkContext.broadcast(cascade(universe, listed))
-    carried = free_name(pages, "_carried")
-    split = pages.select(F.struct(*named(pages.columns)).alias(carried), host(url).alias("host"), path(url).alias("path"))
-    parts = split.select("*", domain_keys(F.col("host")).alias("keys"))
-    hashed = parts.select(carried, "host", "path", *[F.transform("keys", _nth_hash(i)).alias(f"h{i + 1}") for i in range(2)])
+@dataclasses.dataclass
+class Part:
+    """The cascade of the keys whose first hash ends in the ``bits`` bits ``value``."""
+
+    bits: int
+    value: int
+    cascade: Cascade
+
+    def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        own = np.flatnonzero(h1 & np.uint64((1 << self.bits) - 1) == np.uint64(self.value))
+        inside = np.zeros(len(h1), bool)
+        inside[own] = self.cascade.has(h1[own], h2[own])
+        return inside
+
+
+def parts(universe: DataFrame, listed: DataFrame, max_bytes: int = 64 << 20) -> Iterator[Part]:
+    """Cascades of ``listed(key)`` over ``universe(key)``, each within ``max_bytes``, that have every key among them."""
+    inside, outside = saved(_hashed(listed), "listed"), saved(_hashed(universe), "universe")
+    open_ = [(0, 0)]
+    while open_:
+        bits, value = open_.pop()
+        own = [k.where(F.col("h1").bitwiseAND(F.lit((1 << bits) - 1)) == value) for k in (inside, outside)]
+        try:
+            yield Part(bits, value, cascade(*own, max_bytes=max_bytes))
+        except TooLarge:
+            if bits == 32:
+                raise
+            open_ += [(bits + 1, value), (bits + 1, value | 1 << bits)]
+
+
+def _tested(hashed: DataFrame, part: Part) -> DataFrame:
+    """``hashed(_, host, path, h1, h2, hit)``, ``hit`` also where one of the row's keys is listed in the part."""
+    sent = hashed.sparkSession.sparkContext.broadcast(part)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(3)
         rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         flat = [batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (3, 4)]
-        hit = np.zeros(batch.num_rows, bool)
+        hit = batch.column(5).to_numpy(zero_copy_only=False).copy()
         hit[rows[sent.value.has(*flat)]] = True
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hit)], [carried, "host", "path", "hit"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(hit)], batch.schema.names)
 
-    tested = arrow_map(hashed, make, T.StructType([*hashed.schema.fields[:3], T.StructField("hit", T.BooleanType())]))
+    return arrow_map(hashed, make, hashed.schema)
+
+
+def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url_col: str = "url", out_col: str = "judged", max_bytes: int = 64 << 20) -> DataFrame:
+    """``pages`` with a struct ``out_col``: ``host``, ``path``, ``rule`` and ``verdict``. Each pass sends the executors filters of
+    ``max_bytes`` at most."""
+    url = named([url_col])[0]
+    hosts = pages.select(host(url).alias("host")).distinct()
+    universe = hosts.select(F.explode(domain_keys(F.col("host"))).alias("key"))
+    own = [c for c in pages.columns if c.lower() != out_col.lower()]
+    carried = free_name(pages, "_carried")
+    # a struct can't be without a field
+    split = pages.select(F.struct(*named(own), F.lit(None).cast("boolean").alias(free_name(pages, "_none"))).alias(carried), host(url).alias("host"), path(url).alias("path"))
+    with_keys = split.select("*", domain_keys(F.col("host")).alias("keys"))
+    tested = with_keys.select(carried, "host", "path", *[F.transform("keys", _nth_hash(i)).alias(f"h{i + 1}") for i in range(2)], F.lit(False).alias("hit"))
+    written: list[DataFrame] = []
+    for k, part in enumerate(parts(universe, listed, max_bytes)):
+        if k:
+            tested = saved(tested, "judged", instead_of=written)
+            written = [tested]
+        tested = _tested(tested, part)
     ruled = tested.select("*", matched_rule(rules, F.col("host"), F.col("path")).alias("fit"))
     method = F.when(F.col("hit"), "block").otherwise("allow")
     verdict = F.struct("host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"))
-    return ruled.select(f"{carried}.*", verdict.alias(out_col))
+    return ruled.select(*[F.col(carried).getField(c).alias(c) for c in own], verdict.alias(out_col))
