@@ -4,6 +4,7 @@ lineage, and row-batch helpers for the Arrow operators."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import shutil
 import tempfile
@@ -58,12 +59,25 @@ def _stored(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most while a table is written; then the session's own setting again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def saved(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: later plans start at files
     that outlive any executor, and every reader sees the same rows in the same partitions. Then the saved tables
     ``instead_of``, which nothing reads any more, are removed; the others go when the application ends."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     goes_at_exit(spark, path)
     for old in instead_of:
         store, at = _stored(spark, _folders.pop(old))

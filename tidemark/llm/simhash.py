@@ -40,38 +40,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SALTS, arrow_map, column_bytes, mapped, named, row_numbers, saved, spread_join
+from tidemark.llm.common import arrow_map, column_bytes, mapped, named, row_numbers, saved, spread_join
 from tidemark.llm.components import components
 
-#: Hashes whose bits are counted at once: bounds memory on a very long text. A multiple of the most that a byte counts.
-_CHUNK = 255 << 8
+#: Numbers whose bits a byte can count, and how many such blocks are counted at once: bounds memory on long texts.
+_BLOCK, _BLOCKS = 255, 1024
 _LANES = np.uint64(0x0101010101010101)
 #: A component of so many nodes or more is kept apart from its own members when balls are looked up.
 LARGE = 32
-#: Rows a node may have in one round of lookups: bounds what a round shuffles.
-ROUND_ROWS = 48
+#: Rows a node may look up in one round on average: bounds what a round shuffles.
+ROUND_ROWS = 24
 #: How many table matches cost as much as a row that is shuffled.
 _MATCHES_A_ROW = 50
 
 
-def _set_bits(hashes: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set: eight bits of a number at a time are summed up in its eight bytes, for up
-    to 255 numbers."""
-    total = np.zeros((8, 8), np.int64)
-    for k in range(0, len(hashes), _CHUNK):
-        part = hashes[k : k + _CHUNK]
-        if over := len(part) % 255:
-            part = np.concatenate((part, np.zeros(255 - over, "<u8")))
-        for bit in range(8):
-            sums = ((part >> np.uint64(bit)) & _LANES).reshape(-1, 255).sum(axis=1, dtype="<u8")
-            total[:, bit] += sums.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return total.ravel()
-
-
-def _majority(hashes: np.ndarray) -> int:
-    return int(np.packbits(2 * _set_bits(hashes) > len(hashes), bitorder="little").view("<i8")[0])
-
-
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 with seed 42 of each word shingle of one UTF-8 text, in order."""
     # bytes.split() and bytes.lower() know ASCII only: exactly \x20 and \x09-\x0D, exactly A-Z
@@ -89,15 +71,32 @@ def _shingles(text: bytes, shingle: int) -> np.ndarray:
     return np.array(hashes, "<u8")
 
 
-def fingerprint(text: bytes, shingle: int, count: int = 1, repeats: bool = True) -> list[int]:
-    """The SimHashes of one UTF-8 text, as signed 64-bit numbers: of the shingles' hashes, then of hashes mixed from
-    those. Without ``repeats``, each different shingle counts once."""
-    first = _shingles(text, shingle)
-    if not len(first):
-        return [0] * count
+def fingerprints_of(texts: list[bytes], shingle: int, count: int = 1, repeats: bool = True) -> np.ndarray:
+    """The SimHashes of UTF-8 texts, ``(text, count)`` signed 64-bit numbers: of the shingles' hashes, then of hashes mixed
+    from those. Without ``repeats``, each different shingle counts once.
+
+    All texts are counted together: hashes stand in blocks of one text each, and eight bits of a number at a time are
+    summed up in its eight bytes, block by block."""
+    found = [_shingles(t, shingle) for t in texts]
     if not repeats:
-        first = np.unique(first)
-    return [_majority(first)] + [_majority(_mixed(first, k)) for k in range(1, count)]
+        found = [np.unique(f) for f in found]
+    sizes = np.array([len(f) for f in found], np.int64)
+    hashes = np.concatenate([*found, np.zeros(0, "<u8")])
+    blocks = -(-sizes // _BLOCK)
+    text = np.repeat(np.arange(len(texts)), blocks)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    starts = np.append((np.cumsum(sizes) - sizes)[text] + within * _BLOCK, len(hashes))
+    total = np.zeros((count, len(texts), 8, 8), np.int64)
+    for k in range(0, len(text), _BLOCKS):
+        own, edges = text[k : k + _BLOCKS], starts[k : k + _BLOCKS + 1]
+        part, at = hashes[edges[0] : edges[-1]], edges[:-1] - edges[0]
+        for n in range(count):
+            mixed = _mixed(part, n) if n else part
+            for bit in range(8):
+                sums = np.add.reduceat((mixed >> np.uint64(bit)) & _LANES, at)
+                np.add.at(total[n, :, :, bit], own, sums.view(np.uint8).reshape(-1, 8))
+    bits = 2 * total.reshape(count, len(texts), 64) > sizes[None, :, None]
+    return np.packbits(bits, axis=2, bitorder="little").view("<i8").reshape(count, len(texts)).T
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -116,7 +115,8 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0]
         for batch in batches:
-            codes = pa.array([fingerprint(t, shingle, count, repeats) for t in column_bytes(batch, 1)], pa.list_(pa.int64()))
+            found = np.ascontiguousarray(fingerprints_of(column_bytes(batch, 1), shingle, count, repeats)).ravel()
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * count), pa.array(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), codes, row_numbers(seen, batch.num_rows)], ["keep", "code", "row"])
 
     given = docs.select(F.struct(*named(keep)).alias("keep"), *[c.alias("text") for c in named([text_col])])
@@ -200,12 +200,11 @@ class Lookups:
     def _rows(self, nodes: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
         """``(slot, node, check, part, same, seg)``: a row for each node and point ``(segment, flip)``, the lowest bit of the flip
         being 0 in the node."""
-        made = []
+        made = []  # as SQL: a ball may have hundreds of points
         for k, flip in points:
             s = self.plan[k]
-            values = {"seg": k, "at": s.word, "other": (s.word + 1) % self.count, "low": s.low, "cover": _signed(s.cover), "flip": _signed(flip), "lowest": _signed(flip & -flip)}
-            made.append(F.struct(*[F.lit(v).cast("long" if c in ("cover", "flip", "lowest") else "int").alias(c) for c, v in values.items()]))
-        rows = nodes.select("node", "code", "part", F.explode(F.array(*made)).alias("s")).withColumn("fp", F.get("code", F.col("s.at")))
+            made.append(f"struct({k} AS seg, {s.word} AS at, {(s.word + 1) % self.count} AS other, {s.low} AS low, {_signed(s.cover)}L AS cover, {_signed(flip)}L AS flip, {_signed(flip & -flip)}L AS lowest)")
+        rows = nodes.select("node", "code", "part", F.explode(F.expr(f"array({', '.join(made)})")).alias("s")).withColumn("fp", F.get("code", F.col("s.at")))
         key = F.call_function("shiftrightunsigned", F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover")), F.col("s.low"))
         slot = F.col("s.seg").cast("long") * F.lit(1 << 40) + key
         return rows.where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0).select(slot.alias("slot"), "node", F.get("code", F.col("s.other")).alias("check"), "part", (F.col("s.flip") == 0).alias("same"))
@@ -231,7 +230,8 @@ class Lookups:
         met = spread_join(table, heads, "slot", "node")
         return met.where((F.col("node") > F.col("head.node")) & self._near(F.col("check"), F.col("head.check"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
-    def _rounds(self) -> Iterator[range]:
+    def rounds(self) -> Iterator[range]:
+        """The segments of each round of lookups."""
         start, held = 0, 0.0
         for k, s in enumerate(self.plan):
             if k > start and held + s.rows > ROUND_ROWS:
@@ -241,24 +241,20 @@ class Lookups:
         if self.plan:
             yield range(start, len(self.plan))
 
-    def across(self, nodes: DataFrame) -> Iterator[DataFrame]:
-        """Near pairs ``(a, b)`` of nodes of different parts, in rounds of some segments each."""
-        for segments in self._rounds():
-            points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
-            table = self._tables(nodes, segments).select("slot", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("part").alias("of_b"))
-            near = self._near(F.col("check"), F.col("check_b")) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), F.col("check"), F.col("check_b"))
-            # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
-            single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
-            # a large part asks once for the rows of other parts in a slot, and its members meet those alone
-            salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-            many = self._rows(nodes.where("large"), points).select("*", salt)
-            salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-            asked = many.select("slot", "part").distinct().withColumn("salt", salts)
-            others = asked.join(table.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), ["slot", "salt"]).where(F.col("part") != F.col("of_b"))
-            dealt = others.drop("salt", "of_b").withColumn("salt", salts)
-            members = many.hint("merge").join(dealt, ["slot", "part", "salt"]).where(near)
-            both = [x.select(F.col("node").alias("a"), "b") for x in (single, members)]
-            yield both[0].union(both[1]) if self.count == 1 else both[0].union(both[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def across(self, nodes: DataFrame, segments: range) -> DataFrame:
+        """Near pairs ``(a, b)`` of nodes of different parts, by some segments. A slot's rows may be many where a large part
+        has them; they are all of different texts, and Spark splits such a partition as it joins (adaptive skew join)."""
+        points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
+        table = self._tables(nodes, segments).select("slot", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("part").alias("of_b"))
+        near = self._near(F.col("check"), F.col("check_b")) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), F.col("check"), F.col("check_b"))
+        # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
+        single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
+        # a large part asks once for the rows of other parts in a slot, and its members meet those alone
+        many = self._rows(nodes.where("large"), points)
+        others = many.select("slot", "part").distinct().hint("merge").join(table, "slot").where(F.col("part") != F.col("of_b")).drop("of_b")
+        members = many.hint("merge").join(others, ["slot", "part"]).where(near)
+        found = single.select(F.col("node").alias("a"), "b").union(members.select(F.col("node").alias("a"), "b"))
+        return found if self.count == 1 else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _total(a: Column, b: Column) -> Column:
@@ -320,8 +316,8 @@ def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[Da
     parted = nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part"))
     parted = saved(spread_join(parted, sizes, "part", "node", "left").withColumn("large", F.coalesce("large", F.lit(False))), "simhash-parts")
     found = []
-    for pairs in lookups.across(parted):
-        found.append(saved(pairs, "simhash-pairs"))
+    for segments in lookups.rounds():
+        found.append(saved(lookups.across(parted, segments), "simhash-pairs"))
         spark._jvm.System.gc()  # shuffle files of ended rounds go when the driver's objects do
     pairs = found[0]
     for more in found[1:]:
@@ -342,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return spread_join(rows, grouped, "code", "row").select("doc_id", "code", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, count: int = 12, missed: float = 0.01) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, count: int = 12, missed: float = 0.03) -> DataFrame:
     """``docs`` with one row of each component: that with the least id, of equal ids the first saved. Documents link at a
     Jaccard similarity of ``least`` or more by their different shingles; a pair at ``least`` is missed with a probability of
     about ``missed``, one above it with less. Documents that agree in all ``count`` fingerprints are copies."""
