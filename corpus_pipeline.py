@@ -17,7 +17,7 @@ from tidemark.llm.queries import tokenizer_path
 
 
 #: Near duplicates: words of a shingle, the similarity of a link, fingerprints, and the probability that a link is missed.
-NEAR = {"shingle": 5, "least": 0.8, "count": 12, "missed": 0.01}
+NEAR = {"shingle": 5, "least": 0.8, "count": 12, "missed": 0.03}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
