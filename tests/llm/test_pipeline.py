@@ -12,7 +12,7 @@ def stages(spark, docs, tmp_path_factory):
     out, now = [], docs.drop("a.b")
     for k, (name, f) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path_factory.mktemp("stage") / str(k))
-        f(spark, now, "").write.parquet(path)
+        f(spark, now, SMALL).write.parquet(path)
         made = spark.read.parquet(path)
         out.append((name, now, made))
         now = made
@@ -25,9 +25,9 @@ def test_columns(stages):
         assert made.columns == given.columns and made.count() > 0
 
 
-def test_each_stage_acts(stages):
+def test_each_stage_acts(spark, stages):
     (_, a, b), (_, _, c), (_, _, d), (_, _, packed) = stages
-    kept = [r["doc_id"] for r in quality.judge(a, ["doc_id"]).where("quality.kept").collect()]
+    kept = [r["doc_id"] for r in quality.judge(a, ["doc_id"], quality.fit(a, spark.read.parquet(f"{SMALL}/labels.parquet"))).where("quality.kept").collect()]
     assert sorted(map(str, kept)) == sorted(str(r["doc_id"]) for r in b.collect())
     want = simhash.deduplicated(b, **corpus_pipeline.NEAR)
     assert sorted(str(r["text"]) for r in want.collect()) == sorted(str(r["text"]) for r in c.collect())

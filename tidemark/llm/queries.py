@@ -91,7 +91,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "quality.*").withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+    docs = table(spark, sf_dir, "documents")
+    references = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, ["doc_id"], references).select("doc_id", "quality.*").withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
