@@ -21,9 +21,10 @@ NEAR = {"shingle": 5, "least": 0.8, "count": 12, "missed": 0.03}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. The references are those of the documents labelled good."""
     verdict = free_name(docs, "quality")
-    judged = quality.judge(docs, docs.columns, out_col=verdict)
+    references = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.judge(docs, docs.columns, references, out_col=verdict)
     return judged.where(F.col(verdict)["kept"]).drop(verdict)
 
 
