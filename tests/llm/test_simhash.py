@@ -76,15 +76,23 @@ def test_plans():
     """Narrow segments for few values, wide ones for many; a likely plan keeps what it promises."""
     few, many = simhash.complete_plan(1000, 4), simhash.complete_plan(10**9, 4)
     assert min(s.width for s in few) < min(s.width for s in many)
-    for n, count in ((10**3, 12), (10**6, 12), (10**9, 24)):
-        plan = simhash.likely_plan(n, count, 0.8, 0.01)
-        q, w = 1 - simhash.differing(0.8), plan[0].width
-        assert (1 - q**w - w * (1 - q) * q ** (w - 1)) ** len(plan) <= 0.01
+    widths = set()
+    for n, count in ((10**3, 12), (10**6, 12), (10**9, 64)):
+        plan, max_check = simhash.likely_plan(n, count, 0.8, 0.03)
+        q, w = simhash.differing(0.8), plan[0].width
+        rng = random.Random(n)
+        differ = [[rng.random() < q for _ in range(w + 128)] for _ in range(4000)]
+        found = sum(sum(d[:w]) <= 1 and sum(d[w:]) <= max_check for d in differ) / 4000
+        assert (1 - found) ** len(plan) <= 0.06
         covers = Counter()
         for s in plan:
             assert 0 <= s.word < count and s.low + s.width <= 64
             covers.update((s.word, b) for b in range(s.low, s.low + s.width))
         assert max(covers.values()) == 1
+        widths.add(w)
+    assert len(widths) == 3
+    with pytest.raises(ValueError):
+        simhash.likely_plan(10**9, 4, 0.8, 0.03)
 
 
 def test_fingerprints_together():

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import itertools
 import shutil
 import tempfile
@@ -87,6 +88,13 @@ def saved(df: DataFrame, name: str, instead_of: Iterable[DataFrame] = ()) -> Dat
     return out
 
 
+def shuffles_end(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more: it does when the driver's objects
+    for them are collected, which may otherwise take long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row a ``key``, where a key may hold a large share of ``rows``: these are dealt
     to SALTS parts by their column ``by``, each (key, part) that there is fetches the key's row first, and the rows then

@@ -11,10 +11,10 @@ different fingerprints: wide segments have larger balls, narrow ones more matche
 same.
 
 One fingerprint tells documents apart to a few bits only. ``alike`` takes ``count`` of them, of the different shingles,
-and links pairs by their exact Jaccard similarity: a pair at ``least`` differs in 15 % of all bits on average, so it is
-within one bit in one of enough segments with any wished probability. Candidates must then agree in another
-fingerprint and in all together to a loose bound; those far within it are links at once, and the shingles of the rest
-are compared.
+and links pairs by their exact Jaccard similarity: a pair at 0.8 differs in 15 % of all bits on average, so in one of enough
+segments it is within one bit, and within a bound in two fingerprints beside the segment's, with any wished
+probability. Candidates must then agree in all fingerprints to a loose bound; those far within it are links at once, and
+the shingles of the rest are compared.
 
 Near copies by the thousand would still give all their pairs. So rows that share a segment's value are first linked
 with the least of them alone, where the complete distance allows it. The balls then look only for links between the
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, column_bytes, mapped, named, row_numbers, saved, spread_join
+from tidemark.llm.common import arrow_map, column_bytes, mapped, named, row_numbers, saved, shuffles_end, spread_join
 from tidemark.llm.components import components
 
 #: Numbers whose bits a byte can count, and how many such blocks are counted at once: bounds memory on long texts.
@@ -52,6 +52,10 @@ LARGE = 32
 ROUND_ROWS = 24
 #: How many table matches cost as much as a row that is shuffled.
 _MATCHES_A_ROW = 50
+#: Fingerprints beside the segment's that a candidate of several fingerprints is checked in.
+CHECKS = 2
+#: Widths of segments that are chosen from, and the rows a slot may have by chance.
+WIDTHS, SLOT_ROWS = (8, 12, 16, 20, 24, 28, 32), 32
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -172,17 +176,24 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def likely_plan(n: int, count: int, least: float, missed: float = 0.01) -> list[Segment]:
-    """The cheapest plan of radius one that misses a pair of similarity ``least`` with a probability of ``missed`` at
-    most, within ``count`` fingerprints; if none reaches that, the plan that misses fewest."""
-    q, plans = 1 - differing(least), []
-    for width in range(8, 33):
-        found = q**width + width * (1 - q) * q ** (width - 1)
-        per_word = 64 // width
-        wanted = math.ceil(math.log(missed) / math.log1p(-found))
-        tables = min(wanted, count * per_word)
-        plans.append((tables < wanted, (1 - found) ** tables if tables < wanted else 0.0, [Segment(k % count, k // count * width, width, 1) for k in range(tables)]))
-    return min(plans, key=lambda p: (p[0], p[1], _cost(p[2], n)))[2]
+def _at_most(k: int, n: int, q: float) -> float:
+    """The probability that at most ``k`` of ``n`` bits differ."""
+    return sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1))
+
+
+def likely_plan(n: int, count: int, least: float, missed: float) -> tuple[list[Segment], int]:
+    """Segments with a radius of one, and the bits in which the check fingerprints may differ, such that a pair of
+    similarity ``least`` is missed with a probability of ``missed`` at most. Segments are so wide that chance gives a
+    slot few of ``n`` rows; the wider they are, the more it takes. ValueError if ``count`` fingerprints have too few."""
+    q = differing(least)
+    # nine of ten such pairs pass the check; a pair of 0.6 seldom does
+    max_check = next(k for k in range(64 * CHECKS) if _at_most(k, 64 * CHECKS, q) >= 0.9)
+    passed = _at_most(max_check, 64 * CHECKS, q)
+    width = next((w for w in WIDTHS if n <= SLOT_ROWS << w), WIDTHS[-1])
+    tables = math.ceil(math.log(missed) / math.log1p(-passed * _at_most(1, width, q)))
+    if tables > count * (64 // width):
+        raise ValueError(f"{tables} segments of {width} bits take more than {count} fingerprints")
+    return [Segment(k % count, k // count * width, width, 1) for k in range(tables)], max_check
 
 
 def _signed(x: int) -> int:
@@ -191,34 +202,37 @@ def _signed(x: int) -> int:
 
 class Lookups:
     """Tables and lookups of a plan over nodes ``(node, code, part, large)``: ``code`` is an array of ``count``
-    fingerprints. A pair is near if it differs in at most ``max_check`` bits of a fingerprint that the segment isn't
-    in; of a single fingerprint, of that itself."""
+    fingerprints. A pair is near if it differs in at most ``max_check`` bits of the CHECKS fingerprints after the
+    segment's; of a single fingerprint, of that itself."""
 
     def __init__(self, plan: list[Segment], count: int, max_check: int):
         self.plan, self.count, self.max_check = plan, count, max_check
+        self.checks = range(1, CHECKS + 1) if count > CHECKS else range(1)
 
     def _rows(self, nodes: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
-        """``(slot, node, check, part, same, seg)``: a row for each node and point ``(segment, flip)``, the lowest bit of the flip
+        """``(slot, node, check, part, same)``: a row for each node and point ``(segment, flip)``, the lowest bit of the flip
         being 0 in the node."""
         made = []  # as SQL: a ball may have hundreds of points
         for k, flip in points:
             s = self.plan[k]
-            made.append(f"struct({k} AS seg, {s.word} AS at, {(s.word + 1) % self.count} AS other, {s.low} AS low, {_signed(s.cover)}L AS cover, {_signed(flip)}L AS flip, {_signed(flip & -flip)}L AS lowest)")
+            made.append(f"struct({k} AS seg, {s.word} AS at, {s.low} AS low, {_signed(s.cover)}L AS cover, {_signed(flip)}L AS flip, {_signed(flip & -flip)}L AS lowest)")
         rows = nodes.select("node", "code", "part", F.explode(F.expr(f"array({', '.join(made)})")).alias("s")).withColumn("fp", F.get("code", F.col("s.at")))
         key = F.call_function("shiftrightunsigned", F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover")), F.col("s.low"))
         slot = F.col("s.seg").cast("long") * F.lit(1 << 40) + key
-        return rows.where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0).select(slot.alias("slot"), "node", F.get("code", F.col("s.other")).alias("check"), "part", (F.col("s.flip") == 0).alias("same"))
+        return rows.where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0).select(slot.alias("slot"), "node", F.struct(*[F.get("code", (F.col("s.at") + k) % self.count).alias(f"c{k}") for k in self.checks]).alias("check"), "part", (F.col("s.flip") == 0).alias("same"))
 
     def _tables(self, nodes: DataFrame, segments: range) -> DataFrame:
         return self._rows(nodes, [(k, 0) for k in segments]).drop("same")
 
-    def _near(self, a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= self.max_check
+    def _near(self, a: str, b: str) -> Column:
+        parts = [F.bit_count(F.col(f"{a}.c{k}").bitwiseXOR(F.col(f"{b}.c{k}"))) for k in self.checks]
+        return sum(parts[1:], parts[0]) <= self.max_check
 
-    def _once(self, slot: Column, a: Column, b: Column) -> Column:
+    def _once(self, slot: Column, a: str, b: str) -> Column:
         """Whether this segment is the first that finds the pair; known where the check is the fingerprint itself."""
-        first, apart = F.lit(True), a.bitwiseXOR(b)
+        first = F.lit(True)
         if self.count == 1:
+            apart = F.col(f"{a}.c0").bitwiseXOR(F.col(f"{b}.c0"))
             for k, s in enumerate(self.plan):
                 first = first & ((slot <= F.lit((k + 1 << 40) - 1)) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(s.cover)))) > s.radius))
         return first
@@ -228,7 +242,7 @@ class Lookups:
         table = self._tables(nodes, range(len(self.plan)))
         heads = table.groupBy("slot").agg(F.min(F.struct("node", "check")).alias("head"))
         met = spread_join(table, heads, "slot", "node")
-        return met.where((F.col("node") > F.col("head.node")) & self._near(F.col("check"), F.col("head.check"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+        return met.where((F.col("node") > F.col("head.node")) & self._near("check", "head.check")).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
     def rounds(self) -> Iterator[range]:
         """The segments of each round of lookups."""
@@ -246,7 +260,7 @@ class Lookups:
         has them; they are all of different texts, and Spark splits such a partition as it joins (adaptive skew join)."""
         points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
         table = self._tables(nodes, segments).select("slot", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("part").alias("of_b"))
-        near = self._near(F.col("check"), F.col("check_b")) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), F.col("check"), F.col("check_b"))
+        near = self._near("check", "check_b") & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), "check", "check_b")
         # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
         single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
         # a large part asks once for the rows of other parts in a slot, and its members meet those alone
@@ -276,6 +290,7 @@ class Alike:
         ends = pairs.join(nodes.select(F.col("node").alias("a"), F.col("code").alias("code_a")), "a")
         ends = spread_join(ends, nodes.select(F.col("node").alias("b"), F.col("code").alias("code_b")), "b", "a")
         near = saved(ends.select("a", "b", _total(F.col("code_a"), F.col("code_b")).alias("total")).where(F.col("total") <= self.max_total), "simhash-near")
+        shuffles_end(pairs.sparkSession)
         return near.where(F.col("total") <= self.sure_total).select("a", "b").union(self.compared(near.where(F.col("total") > self.sure_total).select("a", "b")))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
@@ -311,14 +326,16 @@ def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[Da
     def links(pairs: DataFrame) -> DataFrame:
         return verify(pairs, nodes) if verify else pairs
 
-    close = components(links(saved(lookups.stars(nodes.select("node", "code", F.col("node").alias("part"))), "simhash-stars")))
+    stars = saved(lookups.stars(nodes.select("node", "code", F.col("node").alias("part"))), "simhash-stars")
+    shuffles_end(spark)
+    close = components(links(stars))
     sizes = close.groupBy(F.col("component").alias("part")).count().where(F.col("count") >= LARGE).select("part", F.lit(True).alias("large"))
     parted = nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part"))
     parted = saved(spread_join(parted, sizes, "part", "node", "left").withColumn("large", F.coalesce("large", F.lit(False))), "simhash-parts")
     found = []
     for segments in lookups.rounds():
         found.append(saved(lookups.across(parted, segments), "simhash-pairs"))
-        spark._jvm.System.gc()  # shuffle files of ended rounds go when the driver's objects do
+        shuffles_end(spark)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -344,10 +361,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     about ``missed``, one above it with less. Documents that agree in all ``count`` fingerprints are copies."""
     held = saved(fingerprints(docs, docs.columns, text_col, shingle, count, repeats=False), "simhash")
     rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
-    # in another fingerprint, a pair at ``least`` differs in more bits than this once in 100,000
-    q = differing(least)
-    max_check = round(64 * q + 4.3 * math.sqrt(64 * q * (1 - q)))
-    grouped = spread_join(rows, groups(rows, lambda n: Lookups(likely_plan(n, count, least, missed), count, max_check), Alike(held, text_col, shingle, count, least)), "code", "row")
+
+    def make(n: int) -> Lookups:
+        plan, max_check = likely_plan(n, count, least, missed)
+        return Lookups(plan, count, max_check)
+
+    grouped = spread_join(rows, groups(rows, make, Alike(held, text_col, shingle, count, least)), "code", "row")
     # the least id first, then the least row among those that have it; both are summed up before a shuffle
     first = grouped.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
     return held.join(first.select("row"), "row", "left_semi").select("keep.*")
