@@ -51,7 +51,8 @@ def test_levels(spark):
     assert one(spark, levels.nearest_rank(F.array().cast("array<int>"))) == (None,)
     assert one(spark, *[levels.playback_floor(F.lit(x).cast("double")) for x in (None, -5.0, -10.0, -30.0)]) == (-45.0, -45.0, -50.0, -55.0)
     assert one(spark, *[levels.nice_step(F.lit(x)) for x in (8.0, 9.0, 20.0, 70.0)]) == (1.0, 2.0, 5.0, 10.0)
-    assert one(spark, levels.tick_label(F.lit(65_250)), levels.bipolar_scale(F.lit(0.4)), levels.db_to_height(F.lit(float("nan")), F.lit(-60.0), F.lit(0.0))) == ("1:05.3", 2.0, 0.0)
+    assert one(spark, levels.tick_label(F.lit(65_250)), levels.bipolar_scale(F.lit(0.4)), levels.db_to_height(F.lit(float("nan")), F.lit(-60.0), F.lit(0.0))) == ("1:05.3", 0.5, 0.0)
+    assert one(spark, *[levels.db_to_height(F.lit(x), F.lit(-60.0), F.lit(0.0)) for x in (-42.0, -41.0, 5.0, float("-inf"))]) == (0.0, 19 / 60, 1.0, 0.0)
 
 
 def test_labels(spark):

@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.levels import nearest_rank
+from tidemark.functions import levels
 from tidemark.operators import checks, store
 from tidemark.sources import kits, schemas, sinks
 from tidemark.streaming import levels as stream
@@ -55,12 +56,27 @@ def test_validation(spark, root):
 
 
 def test_waveforms(spark):
-    texts = ['{"version": 3, "barDurationMs": 50, "samples": [{"tMs": 0, "avgDb": -30, "peakDb": -20}, {"avgDb": 1}]}', "[0, 0.5, 1]", "junk", None, '{"version": 1}']
-    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", kits.waveform(F.col("t")).alias("w")).orderBy("id").collect()
-    assert [len(r["w"]["samples"]) for r in rows] == [1, 3, 0, 0, 0]
-    assert [s["avgDb"] for s in rows[1]["w"]["samples"]] == [-60.0, -30.0, 0.0] and rows[1]["w"]["samples"][2]["tMs"] == 100.0
+    texts = ['{"version": 2, "barDurationMs": 7, "source": "file", "samples": [{"tMs": 5, "avgDb": -30, "peakDb": "-20", "minAmp": -0.5}, {"avgDb": null, "peakDb": "x", "maxAmp": null}]}', "[0, 0.5, 1, 1.5, -2, null]", "junk", None, '{"version": 1}', '{"samples": [{"tMs": "50"}], "source": "other"}', '{"samples": 3}', "[]"]
+    rows = [r["w"] for r in spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", kits.waveform(F.col("t")).alias("w")).orderBy("id").collect()]
+    assert [(w["version"], w["barDurationMs"], w["source"], len(w["samples"])) for w in rows] == [(2, 7, "file", 2), (1, 50, "metering", 6), (3, 50, None, 0), (3, 50, None, 0), (3, 50, None, 0), (3, 50, None, 1), (3, 50, None, 0), (1, 50, "metering", 0)]
+    assert [tuple(s) for s in rows[0]["samples"]] == [(5.0, -30.0, -20.0, -0.5, None), (0.0, 0.0, -160.0, None, 0.0)]
+    assert [s["avgDb"] for s in rows[1]["samples"]] == [-160.0, -30.0, 0.0, 0.0, -160.0, -160.0] and rows[1]["samples"][2]["tMs"] == 100.0
+    assert tuple(rows[5]["samples"][0]) == (50.0, -160.0, -160.0, None, None)
     p = spark.createDataFrame([(0, texts[1])], "id int, waveform_data string")
-    assert kits.samples(p).count() == 3 and p.select(nearest_rank(F.transform(kits.waveform(F.col("waveform_data"))["samples"], lambda s: s["avgDb"])).alias("x")).first()["x"] == 0.0
+    assert kits.samples(p).count() == 6
+
+
+def test_scales_of_series(spark):
+    """Ranks by plain lists: peaks above -159 dB, and both amplitudes that aren't next to nothing."""
+    rng = random.Random(3)
+    for n in (0, 1, 19, 20, 21, 200):
+        series = [{"tMs": k * 50, "avgDb": -50, "peakDb": rng.choice([-160, -159, -158.5, rng.uniform(-60, 0)]), "minAmp": -rng.random() / 2, "maxAmp": rng.choice([0, 1e-7, rng.random()])} for k in range(n)]
+        w = kits.waveform(F.lit(json.dumps({"samples": series})))["samples"]
+        got = spark.range(1).select(levels.playback_range(w).alias("r"), levels.amplitude_scale(w).alias("a")).first()
+        heard, amps = sorted(s["peakDb"] for s in series if s["peakDb"] > -159), sorted(a for s in series for a in (abs(s["minAmp"]), abs(s["maxAmp"])) if a > 1e-6)
+        p = heard[min(len(heard) - 1, int(len(heard) * 0.95))] if heard else None
+        assert got["r"]["minDb"] == pytest.approx(-45 if p is None else min(-45, max(-55, 5 * p))) and got["r"]["maxDb"] == 0
+        assert got["a"] == pytest.approx(amps[min(len(amps) - 1, int(len(amps) * 0.95))] / 0.8 if amps else 1.0)
 
 
 def test_round_trip_of_kits(spark, tmp_path):

@@ -64,9 +64,16 @@ def backup_folder(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd_HHmm")
 
 
+def utc_stamp(epoch_ms: Column) -> Column:
+    """ISO date and time in UTC, to the millisecond. By numbers, so the session's time zone has no part in it."""
+    day, rest = F.floor(epoch_ms / 86_400_000), F.pmod(epoch_ms, F.lit(86_400_000))
+    parts = [F.lpad(F.floor(rest / unit % of).cast("string"), width, "0") for unit, of, width in ((3_600_000, 24, 2), (60_000, 60, 2), (1000, 60, 2), (1, 1000, 3))]
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), F.concat_ws(":", *parts[:3]), F.lit("."), parts[3], F.lit("Z"))
+
+
 def kit_folder(epoch_ms: Column, name: Column) -> Column:
-    """An ISO stamp without ``:`` and ``.``, and the name in ASCII word characters, 40 at most."""
-    stamp = F.regexp_replace(F.date_format(F.timestamp_millis(epoch_ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "[:.]", "-")
+    """An ISO stamp in UTC without ``:`` and ``.``, and the name in ASCII word characters, 40 at most."""
+    stamp = F.regexp_replace(utc_stamp(epoch_ms), "[:.]", "-")
     slug = F.substring(F.regexp_replace(F.coalesce(blank_to_null(name), F.lit("session")), r"[^\w\-]+", "_"), 1, 40)
     return F.concat_ws("_", stamp, slug)
 

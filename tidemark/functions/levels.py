@@ -20,9 +20,17 @@ def clamp01(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
+#: The least level that is captured and the level up to which a bar has no height, in dB.
+SILENCE_DB, NOISE_FLOOR_DB = -160.0, -42.0
+
+
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
 def db_to_height(db: Column, min_db: Column, max_db: Column) -> Column:
-    """A bar's height from 0 to 1; a level that is no number has none."""
-    return F.when(db.isNull() | F.isnan(db) | (max_db <= min_db), F.lit(0.0)).otherwise(clamp01((db - min_db) / (max_db - min_db)))
+    """A bar's height from 0 to 1; a level that is no number, or not above the noise floor, has none."""
+    return F.when(finite(db) & (db > NOISE_FLOOR_DB), clamp01((db - min_db) / F.greatest(F.lit(1e-6), max_db - min_db))).otherwise(F.lit(0.0))
 
 
 def db_to_amplitude(db: Column) -> Column:
@@ -42,9 +50,21 @@ def playback_floor(p95: Column) -> Column:
     return F.when(p95.isNull(), F.lit(-45.0)).otherwise(F.least(F.lit(-45.0), F.greatest(F.lit(-55.0), p95 * 5)))
 
 
+def playback_range(samples: Column) -> Column:
+    """The range of a series' playback: its floor from the peaks that are heard, up to 0 dB."""
+    heard = F.filter(F.transform(samples, lambda s: s["peakDb"]), lambda p: finite(p) & (p > SILENCE_DB + 1))
+    return F.struct(playback_floor(nearest_rank(heard)).alias("minDb"), F.lit(0.0).alias("maxDb"))
+
+
 def bipolar_scale(p95: Column) -> Column:
-    """The factor that brings the 95th percentile of amplitudes to 0.8."""
-    return F.when(p95 > 0, F.lit(0.8) / p95).otherwise(F.lit(1.0))
+    """What amplitudes are divided by, so that their 95th percentile comes to 0.8; 1 where there is none."""
+    return F.when(p95.isNotNull(), F.greatest(F.lit(1e-6), p95 / 0.8)).otherwise(F.lit(1.0))
+
+
+def amplitude_scale(samples: Column) -> Column:
+    """The same for a series, by both amplitudes of its samples that aren't next to nothing."""
+    sides = F.flatten(F.transform(samples, lambda s: F.array(F.abs(F.coalesce(s["minAmp"], F.lit(0.0))), F.abs(F.coalesce(s["maxAmp"], F.lit(0.0))))))
+    return bipolar_scale(nearest_rank(F.filter(sides, lambda a: a > 1e-6)))
 
 
 def nice_step(span: Column, ticks: int = 8) -> Column:

@@ -28,6 +28,26 @@ def kit_violations(kits: DataFrame, manifests: DataFrame, audio: DataFrame, tags
     return violations(base, "kit", rules).unionByName(bad_tags)
 
 
+def pipeline_counters(audio: DataFrame, regions: DataFrame, pieces: DataFrame, kept: DataFrame, flag: str = "possible_non_speech") -> DataFrame:
+    """What became of each recording in the candidate pipeline: its regions, pieces, candidates that were kept, rejected and
+    flagged. Each table is counted on its own, so no join sees more than one row a kit."""
+    def n(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("kit").agg(F.count("*").alias(name))
+
+    flagged = kept.where(F.array_contains(F.coalesce("flags", F.array().cast("array<string>")), flag))
+    out = audio.select("kit").distinct()
+    names = ("n_regions", "n_pieces", "n_candidates", "n_flagged")
+    for df, name in zip((regions, pieces, kept, flagged), names):
+        out = out.join(n(df, name), "kit", "left")
+    return out.fillna(0, list(names)).withColumn("n_rejected", F.greatest(F.lit(0), F.col("n_pieces") - F.col("n_candidates")))
+
+
+def sync_totals(pulled: DataFrame, pushed: DataFrame) -> DataFrame:
+    """One row: kits pulled, kits pushed, and the tags of the latter."""
+    sent = pushed.agg(F.count("*").alias("n_pushed"), F.coalesce(F.sum("tag_count"), F.lit(0)).alias("n_tags"))
+    return pulled.agg(F.count("*").alias("n_pulled")).crossJoin(F.broadcast(sent))  # one row each
+
+
 def tag_density(manifests: DataFrame, tags: DataFrame) -> DataFrame:
     """Tags per minute of each kit."""
     n = tags.groupBy("kit").agg(F.count("*").alias("n_tags"))

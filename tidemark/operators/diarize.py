@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +17,13 @@ GRID_MS, MIN_TURN_MS, MAX_SPEAKERS = 100.0, 600.0, 8
 
 
 def standardized(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """Each number of the vectors less its mean over the recording, over its deviation."""
+    """Each number of the vectors less its mean over the recording, over its deviation, at unit length."""
     flat = vectors.select("*", F.posexplode(embedding).alias("_i", "_x"))
     stats = flat.groupBy(key, "_i").agg(F.avg("_x").alias("_m"), (F.stddev_pop("_x") + 1e-9).alias("_s"))
     packed = stats.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_m", "_s"))).alias("_st"))
-    return vectors.join(packed, key).withColumn(embedding, F.zip_with(embedding, "_st", lambda x, s: (x - s["_m"]) / s["_s"])).drop("_st")
+    scaled = vectors.join(packed, key).withColumn(embedding, F.zip_with(embedding, "_st", lambda x, s: (x - s["_m"]) / s["_s"])).drop("_st")
+    scaled = scaled.withColumn("_len", F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x * x)) + 1e-12)
+    return scaled.withColumn(embedding, F.transform(embedding, lambda x: x / F.col("_len"))).drop("_len")
 
 
 def speaker_labels(windows: DataFrame, distance: float, speakers: int | None = None) -> DataFrame:
@@ -72,7 +77,9 @@ def turns_of_grid(votes: DataFrame, step: float = GRID_MS, least_ms: float = MIN
 
 def diarized(regions: DataFrame, audio: DataFrame, distance: float = 1.0, speakers: int | None = None) -> DataFrame:
     """Turns ``(kit, region, start_ms, end_ms, speaker, confidence)`` of ``regions(kit, region, start_ms, end_ms)``."""
-    windows = segments.sliding_windows(regions, ["kit"]).withColumn("window_id", F.concat_ws(":", "region", F.lpad(F.col("window").cast("string"), 9, "0")))
+    # a long recording takes larger hops, so that its windows (whose distances all meet in one task) stay near 4000
+    hops = segments.adaptive_hop(regions, ["kit"])
+    windows = segments.sliding_windows(regions.join(hops, "kit"), ["kit"], hop="hop_ms").withColumn("window_id", F.concat_ws(":", "region", F.lpad(F.col("window").cast("string"), 9, "0")))
     vectors = signal.span_embeddings(windows, audio, "mfcc").dropDuplicates(["kit", "start_ms", "end_ms"])
     embedded = materialized(standardized(windows.join(vectors, ["kit", "start_ms", "end_ms"]), "kit", "embedding"), "windows")
     labels = speaker_labels(embedded.select("kit", "window_id", "embedding"), distance, speakers).select("kit", "window_id", "label")
@@ -99,6 +106,29 @@ def _by_region():
     return Window.partitionBy("kit", "region")
 
 
+#: Backends by preference, and what each needs.
+BACKENDS = (("pyannote", ("torch", "pyannote.audio"), "HF_TOKEN"), ("ecapa", ("torch", "speechbrain"), None), ("melstats", (), None))
+
+
+def backend_status() -> list[dict[str, object]]:
+    """Each backend with whether its modules, and its token where it needs one, are there."""
+    def there(module: str) -> bool:
+        try:
+            return importlib.util.find_spec(module) is not None
+        except ModuleNotFoundError:
+            return False
+
+    return [{"name": name, "available": all(map(there, modules)) and (token is None or bool(os.environ.get(token)))} for name, modules, token in BACKENDS]
+
+
+def resolve_backend(prefer: str | None = None) -> str:
+    """The backend asked for if it can be used, else none; for ``auto``, the first of the embedded ones that can."""
+    usable = {b["name"] for b in backend_status() if b["available"]}
+    if prefer and prefer != "auto":
+        return prefer if prefer in usable else "none"
+    return next((name for name in ("ecapa", "melstats") if name in usable), "none")
+
+
 def clipped_turns(turns: DataFrame, regions: DataFrame) -> DataFrame:
     """The parts of foreign turns that lie in a region."""
     a = turns.select("kit", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"), "speaker")

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.spans import iou
-from tidemark.operators.stats import auc, percent, quantile_summary
+from tidemark.operators.stats import auc, percent, quantile_summary, quantiles
+from tidemark.operators.store import first_rows
+from tidemark.session import materialized
 
 
 def _n(c: Column) -> Column:
@@ -41,22 +43,41 @@ def boundaries(matched: DataFrame, keys: list[str], late: float = 200.0) -> Data
     )
 
 
-def false_positives(covered: DataFrame, keys: list[str], status: str | None = None, score: str | None = None) -> DataFrame:
-    """Candidates that meet no tag, how many of them were dismissed, and their scores against the others'."""
+def false_positives(covered: DataFrame, keys: list[str], status: str | None = None, reason: str | None = None) -> DataFrame:
+    """Candidates that meet no tag, their share, how many of them were dismissed, and how many of all are marked as no
+    speech."""
     none = F.col("n_tags") == 0
-    aggs = [F.count("*").alias("n_candidates"), _n(none).alias("false_positives")]
+    aggs = [F.count("*").alias("n_candidates"), _n(none).alias("false_positives"), percent(_n(none), F.count("*")).alias("false_positive_pct")]
     if status:
         aggs.append(_n(none & (F.col(status) == "dismissed")).alias("dismissed"))
-    if score:
-        aggs += [F.percentile(F.when(~none, F.col(score)), 0.5).alias("score_hit"), F.percentile(F.when(none, F.col(score)), 0.5).alias("score_miss")]
+    if reason:
+        aggs.append(_n(F.coalesce(F.col(reason), F.lit("")) != "").alias("flagged"))
     return covered.groupBy(*keys).agg(*aggs)
 
 
+def hit_and_miss(covered: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Quantiles of a candidate's value (a score, a duration), apart for those that meet a tag and those that meet none."""
+    side = F.when(F.col("n_tags") > 0, "hit").otherwise("miss")
+    return quantile_summary(covered.withColumn("side", side), [*(keys or []), "side"], value)
+
+
 def misses(tags: DataFrame, matched: DataFrame, by: list[str]) -> DataFrame:
     """Tags without a candidate."""
     return tags.join(matched.select(*by), by, "left_anti")
 
 
+def miss_examples(missed: DataFrame, keys: list[str], order: list[str], n: int = 12) -> DataFrame:
+    """The first ``n`` misses of each group."""
+    return first_rows(missed, keys, order, n)
+
+
+def missed_share(tags: DataFrame, missed: DataFrame, keys: list[str]) -> DataFrame:
+    """How many tags of each group are missed, and their share of all."""
+    total, gone = tags.groupBy(*keys).agg(F.count("*").alias("n_tags")), missed.groupBy(*keys).agg(F.count("*").alias("n_missed"))
+    joined = (total.join(gone, keys, "left") if keys else total.crossJoin(F.broadcast(gone))).fillna(0, ["n_missed"])  # one row each
+    return joined.withColumn("missed_pct", percent(F.col("n_missed"), F.col("n_tags")))
+
+
 def fragmentation(matched: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
     """Tags spread over several candidates and candidates over several tags or speakers."""
     tags = matched.groupBy(*keys).agg(_n(F.col("n_candidates") > 1).alias("split_tags"), F.max("n_candidates").alias("most_candidates"))
@@ -85,7 +106,10 @@ def trim_grid(matched: DataFrame, ts: str, te: str, cs: str, ce: str, starts: li
     rows = matched.select(ts, te, cs, ce, grid).select("*", "g.*")
     s, e = F.col(cs) + F.col("trim_start"), F.col(ce) - F.col("trim_end")
     ratio = F.when(e > s, iou(F.col(ts), F.col(te), s, e)).otherwise(F.lit(0.0))
-    return rows.groupBy("trim_start", "trim_end").agg(F.percentile(ratio, 0.5).alias("median_iou"), _n(ratio >= 0.5).alias("iou50"), F.count("*").alias("n"))
+    point = ["trim_start", "trim_end"]
+    scored = materialized(rows.select(*point, ratio.alias("iou")), "trims")
+    medians = quantiles(scored, point, "iou", {"median_iou": 0.5}).drop("n")
+    return medians.join(scored.groupBy(*point).agg(_n(F.col("iou") >= 0.5).alias("iou50"), F.count("*").alias("n")), point)
 
 
 def best_trim(grid: DataFrame) -> DataFrame:
@@ -103,7 +127,10 @@ def confirm_edits(tags: DataFrame, annotations: DataFrame, position: str = "pos"
 
 def edit_summary(edits: DataFrame) -> DataFrame:
     shrunk = F.col("edited") & (F.col("end_ms") - F.col("start_ms") < F.col("a_end") - F.col("a_start"))
-    return edits.agg(F.count("*").alias("n"), _n(F.col("edited")).alias("n_edited"), _n(shrunk).alias("n_shrunk"), F.percentile(F.when(F.col("edited"), F.col("d_start")), 0.5).alias("d_start"), F.percentile(F.when(F.col("edited"), F.col("d_end")), 0.5).alias("d_end"))
+    out = edits.agg(F.count("*").alias("n"), _n(F.col("edited")).alias("n_edited"), _n(shrunk).alias("n_shrunk"))
+    for c in ("d_start", "d_end"):  # one row each; none where nothing was edited
+        out = out.join(F.broadcast(quantiles(edits.where("edited"), [], c, {c: 0.5}).drop("n")), F.lit(True), "left")
+    return out
 
 
 def workflow_signature(tags: DataFrame, rescued: DataFrame, dismissed: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,6 +146,15 @@ def vintage(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.count("*").alias("n"), F.count("speech_score").alias("with_speech_score"), F.count("speaker_cluster").alias("with_speaker"), F.count("split_by").alias("with_split"), F.max(F.coalesce(F.col("status") == "dismissed", F.lit(False))).alias("curated"))
 
 
+#: Sources of candidates that a machine has made, whatever became of them.
+MACHINE_SOURCES = ("vad_v0", "ml_v0", "ml_confirmed")
+
+
+def archival(annotations: DataFrame, sources: tuple[str, ...] = MACHINE_SOURCES) -> DataFrame:
+    """Annotations of the machine's sources."""
+    return annotations.where(F.col("source").isin(*sources))
+
+
 def eligible_kits(tags: DataFrame, candidates: DataFrame, key: str, least_tags: int, fresh: bool = False) -> DataFrame:
     """Recordings with enough tags, and with candidates unless fresh ones are to be made."""
     counted = tags.groupBy(key).agg(F.count("*").alias("n_tags")).join(candidates.groupBy(key).agg(F.count("*").alias("n_candidates")), key, "left").fillna(0, ["n_candidates"])

@@ -75,11 +75,14 @@ def best_match(pairs: DataFrame, by: list[str], ls: str, le: str, rs: str, re: s
     return scored.groupBy(*by).agg(best.alias("best"), F.count("*").alias("n_candidates")).select(*by, "best.*", "n_candidates")
 
 
-def owner_of_points(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, position: str, slack: float = 1e-6) -> DataFrame:
+def owner_of_points(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, position: str, slack: float = 1e-6, bucket: float | None = None) -> DataFrame:
     """Each point with the first span that holds it; points outside of all spans go."""
-    a, b = points.alias("a"), spans.alias("b")
+    a, b = points, spans
+    if bucket:  # a point is in one bucket, a span in each that it touches
+        a, b = points.withColumn("_bucket", F.floor(F.col(point) / bucket)), _dealt(spans, start, end, bucket, slack)
+    a, b = a.alias("a"), b.alias("b")
     inside = (F.col(f"b.{start}") - slack <= F.col(f"a.{point}")) & (F.col(f"a.{point}") <= F.col(f"b.{end}") + slack)
-    for k in keys:
+    for k in [*keys, "_bucket"] if bucket else keys:
         inside = inside & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     held = a.join(b, inside).select(*[F.col(f"a.{c}") for c in points.columns], *[F.col(f"b.{c}") for c in spans.columns if c not in keys])
     first = F.min_by(F.struct(*[c for c in spans.columns if c not in keys]), F.col(position))
@@ -109,22 +112,28 @@ def suppressed(candidates: DataFrame, tags: DataFrame, keys: list[str], margin:
     return overlap_anti(normalize_spans(candidates, "suppress_candidate"), normalize_spans(tags, "suppress_tag"), keys, "start_ms", "end_ms", "start_ms", "end_ms", margin, bucket)
 
 
-def window_votes(points: DataFrame, windows: DataFrame, keys: list[str], point: str = "t_ms", slack: float = 1e-6) -> DataFrame:
+def window_votes(points: DataFrame, windows: DataFrame, keys: list[str], point: str = "t_ms", slack: float = 1e-6, bucket: float = 60_000.0) -> DataFrame:
     """Each grid point's label by the windows (``start_ms``, ``end_ms``, ``label``) that hold it, each weighted by
-    1 / (1 + d / 500) for its centre's distance d; where none does, the nearest window's label at confidence 0.5."""
-    a, b = points.alias("a"), windows.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    1 / (1 + d / 500) for its centre's distance d; where none does, the nearest window's label at confidence 0.5.
+
+    Points and windows meet by stretches of time. The few points that no window holds look for the nearest centre among
+    all windows of their keys, by one ordered pass over both."""
+    of = points.columns
+    a = points.withColumn("_bucket", F.floor(F.col(point) / bucket))
+    b = _dealt(windows.select(*keys, "start_ms", "end_ms", "label"), "start_ms", "end_ms", bucket, slack)
     d = F.abs(F.col(point) - (F.col("start_ms") + F.col("end_ms")) / 2)
-    joined = a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in points.columns], "label", d.alias("_d"), ((F.col("start_ms") - slack <= F.col(point)) & (F.col(point) <= F.col("end_ms") + slack)).alias("_in"))
-    by_label = joined.groupBy(*points.columns, "label").agg(F.sum(F.when(F.col("_in"), 1 / (1 + F.col("_d") / 500))).alias("_w"), F.min("_d").alias("_d"))
-    total = F.sum("_w")
-    return by_label.groupBy(*points.columns).agg(
-        F.coalesce(F.max_by("label", F.when(F.col("_w").isNotNull(), F.struct(F.col("_w"), (-F.col("label")).alias("l")))), F.min_by("label", F.struct("_d", "label"))).alias("label"),
-        F.when(total > 0, F.max("_w") / total).otherwise(F.lit(0.5)).alias("confidence"),
-    )
+    held = a.join(b, [*keys, "_bucket"]).where((F.col("start_ms") - slack <= F.col(point)) & (F.col(point) <= F.col("end_ms") + slack))
+    by_label = held.groupBy(*of, "label").agg(F.sum(1 / (1 + d / 500)).alias("_w"))
+    voted = by_label.groupBy(*of).agg(F.max_by("label", F.struct(F.col("_w"), (-F.col("label")).alias("l"))).alias("label"), (F.max("_w") / F.sum("_w")).alias("confidence"))
+    alone = points.join(voted.select(*of), of, "left_anti")
+    centres = windows.select(*keys, ((F.col("start_ms") + F.col("end_ms")) / 2).alias("_at"), "label").groupBy(*keys, "_at").agg(F.min("label").alias("label"))
+    both = alone.select(*keys, F.struct(*of).alias("_point"), F.col(point).cast("double").alias("_at"), F.lit(None).cast(windows.schema["label"].dataType).alias("label")).unionByName(centres.withColumn("_point", F.lit(None)), allowMissingColumns=True)
+    line = Window.partitionBy(*keys).orderBy("_at", F.col("_point").isNotNull())
+    centre = F.when(F.col("_point").isNull(), F.struct("_at", "label"))
+    placed = both.withColumns({"_before": F.last(centre, True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first(centre, True).over(line.rowsBetween(0, Window.unboundedFollowing))}).where("_point is not null")
+    far = {side: F.abs(F.col("_at") - F.col(f"{side}._at")) for side in ("_before", "_after")}
+    ranked = F.array_min(F.filter(F.array(*[F.when(F.col(side).isNotNull(), F.struct(far[side].alias("d"), F.col(f"{side}.label").alias("label"))) for side in far]), lambda x: x.isNotNull()))
+    return voted.unionByName(placed.select("_point.*", ranked["label"].alias("label"), F.lit(0.5).alias("confidence")))
 
 
 def stitched(turns: DataFrame, keys: list[str], max_gap_ms: float) -> DataFrame:

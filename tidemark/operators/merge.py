@@ -169,6 +169,22 @@ def dismissed(annotations: DataFrame, gone: DataFrame) -> DataFrame:
     return marked.select(*annotations.columns)
 
 
+def with_asr(annotations: DataFrame, results: DataFrame) -> DataFrame:
+    """Annotations with the newest recognised text of their uuid as the struct ``asr`` (``text``, ``language``, ``model``, ``source``,
+    ``updatedAt``, ``startMs``, ``endMs``); where there is none, what they had."""
+    fields = ("text", "language", "model", "source", "updatedAt", "startMs", "endMs")
+    newest = results.groupBy("uuid").agg(F.max_by(F.struct(*fields), F.struct("updatedAt", "text")).alias("_asr"))
+    joined = annotations.join(newest, "uuid", "left")
+    return joined.withColumn("asr", F.coalesce("_asr", "asr") if "asr" in annotations.columns else F.col("_asr")).drop("_asr")
+
+
+def uuid_of(*parts: Column) -> Column:
+    """A uuid that follows from its parts, in the form of version 4: the same rows get the same one when a task is run again."""
+    h = F.sha2(F.concat_ws("\u0000", *parts), 256)
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def found_by_uuid(annotations: DataFrame, tags: DataFrame, uuids: DataFrame) -> DataFrame:
     """Spans by uuid, an annotation before a tag."""
     both = prioritized([annotations.withColumn("ref_type", F.lit("annotation")), tags.withColumn("ref_type", F.lit("tag"))], ["uuid"])

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.levels import bin_of, score_from_peak
 
 
+#: A stretch of time that frames and spans are dealt to before they are joined.
+STRETCH_MS = 60_000.0
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str) -> DataFrame:
     """``df`` with the number of the island each row is in; ``starts`` says which rows begin one."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -121,23 +125,24 @@ def downsample(rows: DataFrame, keys: list[str], order: list[str], value: str, b
     return rows.withColumn("bucket", at).groupBy(*keys, "bucket").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
 
 
-def sliding_windows(spans: DataFrame, keys: list[str], window: float = 1500.0, hop: float = 250.0) -> DataFrame:
-    """Windows over each span, one at its very end if the last hop falls short, or the span itself if it is shorter."""
+def sliding_windows(spans: DataFrame, keys: list[str], window: float = 1500.0, hop: float | str = 250.0) -> DataFrame:
+    """Windows over each span, one at its very end if the last hop falls short, or the span itself if it is shorter. ``hop`` is a
+    number, or the column that has each span's."""
     s, e = F.col("start_ms"), F.col("end_ms")
+    rest = [c for c in spans.columns if c not in ("start_ms", "end_ms", hop)]
+    hop = F.col(hop) if isinstance(hop, str) else F.lit(float(hop))
     n = F.floor((e - s - window + 1e-6) / hop).cast("int")
     steps = F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((s + k * hop).cast("double").alias("start_ms"), (s + k * hop + window).cast("double").alias("end_ms")))
     tail = F.when(s + n * hop + window < e - 1e-6, F.array(F.struct(F.greatest(s, e - window).cast("double").alias("start_ms"), e.cast("double").alias("end_ms")))).otherwise(F.array().cast("array<struct<start_ms:double,end_ms:double>>"))
     whole = F.array(F.struct(s.cast("double").alias("start_ms"), e.cast("double").alias("end_ms")))
     all_ = F.when(e - s <= window, whole).otherwise(F.concat(steps, tail))
-    rest = [c for c in spans.columns if c not in ("start_ms", "end_ms")]
     return spans.select(*rest, F.posexplode(all_).alias("window", "_w")).select(*rest, "window", "_w.*")
 
 
-def adaptive_hop(spans: DataFrame, keys: list[str], window: float = 1500.0, hop: float = 250.0, most: int = 4000) -> DataFrame:
-    """Per key, the hop that keeps the windows near ``most``."""
-    length = F.greatest(F.lit(0.0), F.col("end_ms") - F.col("start_ms") - window)
-    total = spans.groupBy(*keys).agg(F.sum(F.floor(length / hop) + 1).alias("n"), F.sum(length).alias("length"))
-    return total.select(*keys, F.when(F.col("n") > most, F.greatest(F.lit(hop), F.col("length") / most)).otherwise(F.lit(hop)).alias("hop_ms"), "n")
+def adaptive_hop(spans: DataFrame, keys: list[str], hop: float = 250.0, most: int = 4000) -> DataFrame:
+    """Per key, the hop at which its spans would have ``most`` windows, and ``hop`` where that gives fewer anyway."""
+    length = F.sum(F.greatest(F.lit(0.0), F.col("end_ms") - F.col("start_ms")))
+    return spans.groupBy(*keys).agg(F.greatest(F.lit(hop), length / most).alias("hop_ms"))
 
 
 def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -170,15 +175,16 @@ def first_appearance_names(turns: DataFrame, keys: list[str], cluster: str, star
     return turns.join(first.select(*keys, cluster, F.concat(F.lit(prefix), F.lpad(rank.cast("string"), 2, "0")).alias("speaker")), [*keys, cluster])
 
 
-def trimmed_to_active(spans: DataFrame, frames: DataFrame, keys: list[str], span_key: str, pad_ms: float = 40.0, hop_ms: float = 10.0, min_ms: float = 420.0) -> DataFrame:
+def trimmed_to_active(spans: DataFrame, frames: DataFrame, keys: list[str], span_key: str, pad_ms: float = 40.0, hop_ms: float = 10.0, min_ms: float = 420.0, stretch_ms: float = STRETCH_MS) -> DataFrame:
     """Spans cut down to their frames at or above ``threshold``, padded within the span. One that gets too short is widened
     about its middle if the span has room for four fifths of ``min_ms``, else dropped; one without such a frame stays
     whole if it is long enough."""
-    a, b = spans.alias("a"), frames.alias("b")
-    on = (F.col("b.t_ms") >= F.col("a.start_ms")) & (F.col("b.t_ms") <= F.col("a.end_ms")) & (F.col("b.db") >= F.col("a.threshold"))
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    found = a.join(b, on, "left").groupBy(*[F.col(f"a.{c}") for c in spans.columns]).agg(F.min("b.t_ms").alias("_t0"), F.max("b.t_ms").alias("_t1"))
+    # frames meet the spans of their stretch of time only; a span is in each stretch that it touches
+    stretches = spans.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("start_ms") / stretch_ms), F.floor(F.greatest("start_ms", "end_ms") / stretch_ms))))
+    loud = frames.select(*keys, "t_ms", "db", F.floor(F.col("t_ms") / stretch_ms).alias("_stretch"))
+    held = stretches.join(loud, [*keys, "_stretch"]).where((F.col("t_ms") >= F.col("start_ms")) & (F.col("t_ms") <= F.col("end_ms")) & (F.col("db") >= F.col("threshold")))
+    ends = held.groupBy(*spans.columns).agg(F.min("t_ms").alias("_t0"), F.max("t_ms").alias("_t1"))
+    found = spans.join(ends, spans.columns, "left")
     t0, t1 = F.greatest(F.col("start_ms"), F.col("_t0") - pad_ms), F.least(F.col("end_ms"), F.col("_t1") + hop_ms + pad_ms)
     short = t1 - t0 < min_ms
     w0 = F.when(short, F.greatest(F.col("start_ms"), t0 - (min_ms - (t1 - t0)) / 2)).otherwise(t0)

@@ -5,28 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.levels import nearest_rank
+from tidemark.session import materialized
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
 
+def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """``(keys, value)``, each once, with its ``sums`` and, as ``before_`` and the name, the same over all smaller values of its keys.
+
+    Rows are summed up by value first; values are sorted over range partitions, which cut a large group wherever
+    they fill, and running sums within a partition are added to those of the group's partitions before it. So no task
+    has more than a partition, however few the groups are. Null values are left out."""
+    by_value = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    order = [*keys, value]
+    placed = materialized(by_value.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "running")
+    whole = placed.groupBy(*keys, "_part").agg(*[F.sum(n).alias(n) for n in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_base_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_local_{n}") for n in sums])
+    joined = local.join(bases, (F.col("_part") == F.col("_p")) & _same(keys))
+    return joined.select(*order, *sums, *[(F.col(f"_base_{n}") + F.col(f"_local_{n}")).alias(f"before_{n}") for n in sums])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``n`` and exact interpolated quantiles of each group that has values, by name."""
+    ranked = running(df, keys, value, {"n": F.lit(1)})
+    total = ranked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("n").alias("_all"))
+    joined = ranked.join(total, _same(keys)) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    ends = []
+    for name, share in shares.items():
+        at = share * (F.col("_all") - 1)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends.append(F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col(value))).alias(f"_{side}_{name}"))
+    found = joined.groupBy(*keys).agg(F.max("_all").alias("_all"), *ends)
+    between = {name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (share * (F.col("_all") - 1) - F.floor(share * (F.col("_all") - 1))) for name, share in shares.items()}
+    return found.select(*keys, F.col("_all").alias("n"), *[c.cast("double").alias(name) for name, c in between.items()])
+
+
 def quantile_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``n``, ``min``, interpolated quantiles, ``max`` and ``mean`` of each group; groups without values are not there."""
-    quantiles = F.percentile(value, F.array(*[F.lit(q) for q in QUANTILES.values()]))
-    out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), quantiles.alias("_q"), F.max(value).alias("max"), F.avg(value).alias("mean"))
-    return out.select(*keys, "n", "min", *[F.col("_q")[k].alias(name) for k, name in enumerate(QUANTILES)], "max", "mean")
+    rows = df.where(F.col(value).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    found = quantiles(rows, keys, value, QUANTILES)
+    if not keys:
+        joined = found.crossJoin(F.broadcast(ends))  # one row each
+    else:
+        joined = found.join(ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "min", "max", "mean"), _same(keys))
+    return joined.select(*keys, "n", "min", *QUANTILES, "max", "mean")
 
 
-def nearest_rank_by_rows(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
-    """The value of rank floor(n * share) + 1 (n at most) of each group, ``value`` included in the sort only."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    counted = df.where(F.col(value).isNotNull()).withColumns({"_r": rank, "n": F.count("*").over(Window.partitionBy(*keys))})
-    return counted.where(F.col("_r") == F.least(F.col("n"), F.floor(F.col("n") * F.lit(share)) + 1)).select(*keys, "n", F.col(value).alias("p"))
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return out
 
 
-def nearest_rank_of_series(df: DataFrame, series: str, field: str, share: float = 0.95) -> Column:
-    """The same of an array of samples in a row, without what is no number or silent."""
-    return nearest_rank(F.transform(F.filter(series, lambda s: s[field].isNotNull() & ~F.isnan(s[field]) & (s[field] > -160)), lambda s: s[field]), share)
+def nearest_rank_by_rows(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """The value of rank floor(n * share) + 1 (n at most) of each group."""
+    ranked = running(df, keys, value, {"n": F.lit(1)})
+    total = ranked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("n").alias("_all"))
+    joined = ranked.join(total, _same(keys)) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    rank = F.least(F.col("_all"), F.floor(F.col("_all") * F.lit(share)) + 1)
+    return joined.where((F.col("before_n") < rank) & (rank <= F.col("before_n") + F.col("n"))).select(*keys, F.col("_all").alias("n"), F.col(value).alias("p"))
 
 
 def histogram(df: DataFrame, value: str, edges: list[float], keys: list[str] | None = None) -> DataFrame:
@@ -43,9 +85,13 @@ def histogram(df: DataFrame, value: str, edges: list[float], keys: list[str] | N
     return grid.join(counts, [*keys, "bucket"], "left").select(*keys, "bucket", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def tally(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Rows by value, blank and null as ``(none)``."""
-    return df.groupBy(*(keys or []), F.coalesce(F.nullif(F.col(value).cast("string"), F.lit("")), F.lit("(none)")).alias(value)).agg(F.count("*").alias("n"))
+def tally(df: DataFrame, value: str, keys: list[str] | None = None, position: str | None = None) -> DataFrame:
+    """Rows by value, blank and null as ``(none)``. With ``position``, the most frequent first, of equal ones that which is
+    seen first, and that place as ``first_seen``."""
+    name = F.coalesce(F.nullif(F.col(value).cast("string"), F.lit("")), F.lit("(none)")).alias(value)
+    seen = [F.min(position).alias("first_seen")] if position else []
+    out = df.groupBy(*(keys or []), name).agg(F.count("*").alias("n"), *seen)
+    return out.orderBy(*(keys or []), F.desc("n"), "first_seen") if position else out
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -53,14 +99,11 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def auc(df: DataFrame, score: str, positive: Column, keys: list[str] | None = None) -> DataFrame:
-    """The chance that a positive row outscores a negative one, ties counting half; null if one side is empty.
-
-    By ranks of the different scores: rows are counted by score first, so the sort sees each score once."""
+    """The chance that a positive row outscores a negative one, ties counting half; null if one side is empty."""
     keys = keys or []
-    by_score = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.withColumn("_wins", F.col("p") * (below + F.col("q") / 2))
-    sums = ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("_wins").alias("_wins"))
+    by_score = running(df, keys, score, {"p": F.when(positive, 1).otherwise(0), "q": F.when(positive, 0).otherwise(1)})
+    ranked = by_score.withColumn("_wins", F.col("p") * (F.col("before_q") + F.col("q") / 2))
+    sums = ranked.groupBy(*keys).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"), F.sum("_wins").alias("_wins"))
     return sums.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
@@ -85,6 +128,12 @@ def word_counts(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def word_list(df: DataFrame, words: Column, limit: int | None = None) -> DataFrame:
+    """Words by count, the most frequent first, equal ones in binary order."""
+    out = word_counts(df, words).orderBy(F.desc("n"), "word")
+    return out.limit(limit) if limit else out
+
+
 def vocabulary(df: DataFrame, words: Column) -> DataFrame:
     """One row: different words, all words, rows."""
     totals = word_counts(df, words).agg(F.count("*").alias("n_different"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_words"))

@@ -64,11 +64,17 @@ def created_since_midnight(recordings: DataFrame, now_ms: Column, column: str =
     return recordings.where(F.col(column) >= midnight)
 
 
-def by_day(recordings: DataFrame, epoch_ms: str, item: Column) -> DataFrame:
-    """Recordings by date, newest first, as ``day``, ``title``, ``n`` and ``items``."""
+def by_day(recordings: DataFrame, epoch_ms: str) -> DataFrame:
+    """Dates, newest first, as ``day``, ``title`` and ``n``."""
     day = F.to_date(F.timestamp_millis(epoch_ms))
-    grouped = recordings.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
-    return grouped.select("day", F.date_format("day", "EEEE, MMMM d, yyyy").alias("title"), "n", "items").orderBy(F.col("day").desc())
+    return recordings.groupBy(day.alias("day")).agg(F.count("*").alias("n")).select("day", F.date_format("day", "EEEE, MMMM d, yyyy").alias("title"), "n").orderBy(F.col("day").desc())
+
+
+def day_items(recordings: DataFrame, epoch_ms: str) -> DataFrame:
+    """Recordings with their date's title, in the order in which they are listed below it: a row for each, as a day may have
+    any number."""
+    at = F.timestamp_millis(epoch_ms)
+    return recordings.withColumns({"day": F.to_date(at), "title": F.date_format(at, "EEEE, MMMM d, yyyy")}).orderBy(F.col("day").desc(), F.col(epoch_ms).desc())
 
 
 def by_month(kits: DataFrame, epoch_ms: str, tags: DataFrame, annotations: DataFrame, key: str = "kit") -> DataFrame:
@@ -88,6 +94,25 @@ def tag_words(tags: DataFrame) -> DataFrame:
     return tags.select("*", F.explode(label_words(F.col("word"), F.col("label"))).alias("token"))
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key. Ranks are cut off within each task before rows are shuffled."""
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+
+
+def within_window(tags: DataFrame, end_ms: Column, window_ms: int, column: str = "timestamp_ms") -> DataFrame:
+    """Tags whose time is in the window that ends at ``end_ms`` and is ``window_ms`` long, from 0 at the earliest."""
+    return tags.where(F.col(column).between(F.greatest(F.lit(0), end_ms - window_ms), end_ms))
+
+
+def kits_by_month(kits: DataFrame, epoch_ms: str) -> DataFrame:
+    """Kits with their year and month, the newest first; ones without a time come last."""
+    at = F.timestamp_millis(epoch_ms)
+    return kits.withColumns({"year": F.year(at), "month": F.month(at)}).orderBy(F.col("year").desc_nulls_last(), F.col("month").desc_nulls_last(), F.col(epoch_ms).desc_nulls_last())
+
+
 def latest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The ``n`` newest rows of each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))

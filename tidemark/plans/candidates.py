@@ -25,13 +25,20 @@ def speech_regions(audio: DataFrame) -> DataFrame:
     return merge.numbered(marked.where(~bang).select("kit", "start_ms", "end_ms", "score"), ["kit"], ["start_ms", "end_ms"], "region").withColumn("region", F.col("region").cast("long"))
 
 
-def gated(pieces: DataFrame, audio: DataFrame) -> DataFrame:
-    """Pieces that don't sound like speech go; weak ones are flagged and score 0.5 at most."""
+def gated(pieces: DataFrame, audio: DataFrame, reject: bool = True) -> DataFrame:
+    """Pieces that don't sound like speech go, or score 0.3 at most where ``reject`` is off; weak ones score 0.5 at most. Both
+    are flagged."""
     spans = pieces.select("kit", "start_ms", "end_ms").distinct()
-    scored = pieces.join(signal.span_speech(spans, audio), ["kit", "start_ms", "end_ms"]).where(F.col("speech_score") >= REJECT)
-    weak = F.col("speech_score") < WEAK
-    reason = nonspeech_reason(F.col("low_band_ratio"), F.col("speech_band_ratio"), F.col("voicing_peak"))
-    return scored.withColumns({"score": F.when(weak, F.least(F.col("score"), F.lit(0.5))).otherwise(F.col("score")), "flags": F.when(weak, F.array_append("flags", "possible_non_speech")).otherwise(F.col("flags")), "non_speech_reason": F.when(weak, reason)})
+    scored = pieces.join(signal.span_speech(spans, audio), ["kit", "start_ms", "end_ms"])
+    return judged(scored.withColumn("_reason", nonspeech_reason(F.col("low_band_ratio"), F.col("speech_band_ratio"), F.col("voicing_peak"))), reject).drop("_reason")
+
+
+def judged(scored: DataFrame, reject: bool = True) -> DataFrame:
+    """The gate's rule for pieces with ``speech_score``, ``score``, ``flags`` and ``_reason``."""
+    weak, none = F.col("speech_score") < WEAK, F.col("speech_score") < REJECT
+    most = F.when(none, 0.3).when(weak, 0.5)
+    rows = scored.where(~none) if reject else scored
+    return rows.withColumns({"score": F.least(F.col("score"), most), "flags": F.when(weak, F.array_append("flags", "possible_non_speech")).otherwise(F.col("flags")), "non_speech_reason": F.when(weak, F.col("_reason"))})
 
 
 def candidates(audio: DataFrame, tags: DataFrame | None = None, speakers: int | None = None) -> DataFrame:

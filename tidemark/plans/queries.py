@@ -116,7 +116,7 @@ def sessions_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(ts AS DATE) AS day, strftime(CAST(ts AS DATE), '%A, %B %-d, %Y') AS title, count(*) AS n FROM events GROUP BY 1, 2")
 def sessions_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("ms", F.floor(F.col("t") / 1000))
-    return store.by_day(e, "ms", F.col("event_id")).select("day", "title", "n")
+    return store.by_day(e, "ms")
 
 
 @query("SELECT count(*) AS n FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events)")
@@ -181,11 +181,14 @@ def level_bins_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "events")
     # a pattern, as the table may be a file or a folder
     raw = stream.file_stream(spark, f"{sf_dir}/[e]vents.parquet", source.schema)
-    e = raw.select("user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("ts").cast("timestamp").alias("at"))
-    bins = stream.binned(e, ["user_id"], "at", "t", HOUR, [F.max("value").alias("peak"), F.min("value").alias("trough")], "3650 days")
+    e = raw.select("user_id", "value", F.col("ts").cast("timestamp").alias("at"))
+    # the files' rows are in no order of time, so the watermark stands far back
+    bins = stream.binned(e, ["user_id"], "at", "1 hour", "30 minutes", [F.max("value").alias("peak"), F.min("value").alias("trough")], "3650 days")
     place = scratch(spark, "level-bins")
-    stream.into(bins, f"{place}/checkpoint", lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/out"), "complete").awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    # each batch's bins beside the others: a bin's last state has its greatest peak and least trough
+    stream.into(bins, f"{place}/checkpoint", lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")).awaitTermination()
+    out = spark.read.parquet(f"{place}/out").groupBy("user_id", "bin").agg(F.max("peak").alias("peak"), F.min("trough").alias("trough"))
+    return out.withColumn("bin", F.unix_micros("bin"))
 
 
 @query(
@@ -213,7 +216,7 @@ def level_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, round(CASE WHEN value - 150 <= -160 THEN 0.0 ELSE least(1.0, pow(10.0, (value - 150) / 20)) END, 9) AS amplitude, round(least(1.0, greatest(0.0, (value - 150 + 60) / 60)), 9) AS height, round(least(1.0, greatest(0.0, (value - 100) / 18)), 9) AS score FROM events"
+    "SELECT event_id, round(CASE WHEN value - 150 <= -160 THEN 0.0 ELSE least(1.0, pow(10.0, (value - 150) / 20)) END, 9) AS amplitude, round(CASE WHEN value - 150 > -42 THEN least(1.0, greatest(0.0, (value - 150 + 60) / 60)) ELSE 0.0 END, 9) AS height, round(least(1.0, greatest(0.0, (value - 100) / 18)), 9) AS score FROM events"
 )
 def level_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = F.col("value") - 150
@@ -222,8 +225,8 @@ def level_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, round(quantile_cont(value, 0.25), 9) AS p25, round(quantile_cont(value, 0.5), 9) AS median FROM events GROUP BY 1")
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5)))
-    return events(spark, sf_dir).groupBy("user_id").agg(both.alias("q")).select("user_id", F.round(F.col("q")[0], 9).alias("p25"), F.round(F.col("q")[1], 9).alias("median"))
+    both = [segments.noise_threshold(events(spark, sf_dir), ["user_id"], "value", share, 0.0).groupBy("user_id").agg(F.first("floor").alias(name)) for share, name in ((0.25, "p25"), (0.5, "median"))]
+    return both[0].join(both[1], "user_id").select("user_id", F.round("p25", 9).alias("p25"), F.round("median", 9).alias("median"))
 
 
 @query(
@@ -258,7 +261,7 @@ def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def inactivity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    grouped = e.groupBy("user_id", F.session_window("at", "1 hour")).agg(F.count("*").alias("n"))
+    grouped = stream.sessions(e, ["user_id"], "at", "1 hour", [F.count("*").alias("n")])
     return grouped.select("user_id", F.unix_micros("session_window.start").alias("t"), F.unix_micros("session_window.end").alias("t_end"), "n")
 
 
@@ -325,7 +328,7 @@ def overlap_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_E}, {_CANDS} SELECT e.event_id, min(cand_id) AS cand_id FROM e JOIN cands ON e.user_id = cands.user_id AND cs <= t AND t <= ce WHERE event_type = 'click' GROUP BY 1")
 def owner_of_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = events(spark, sf_dir).where("event_type = 'click'").select("event_id", "user_id", "t")
-    return intervals.owner_of_points(clicks, candidates(spark, sf_dir), ["user_id"], "t", "cs", "ce", "cand_id").select("event_id", "cand_id")
+    return intervals.owner_of_points(clicks, candidates(spark, sf_dir), ["user_id"], "t", "cs", "ce", "cand_id", 0, BUCKET).select("event_id", "cand_id")
 
 
 @query(f"WITH {_E}, {_TAGS}, {_CANDS}, {_PAIRS} SELECT tag_id, cand_id, greatest(ts, cs) AS clip_start, least(te, ce) AS clip_end FROM pairs")
@@ -530,13 +533,13 @@ _CENT = (
 
 @query(f"WITH {_CENT} SELECT t.label, size, round(mean_distance, 6) AS mean_distance, round(greatest(0.0, least(1.0, 1 - mean_distance)), 6) AS tightness, round(greatest(0.0, least(1.0, coalesce(sep, 1.0))), 6) AS separation FROM t LEFT JOIN s ON t.label = s.label")
 def cluster_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = cluster.confidence(table(spark, sf_dir, "embeddings"), [], "label", "embedding")
+    rows, _ = cluster.confidence(table(spark, sf_dir, "embeddings"), [], "label", "embedding", "vec_id")
     return rows.select("label", "size", *[F.round(c, 6).alias(c) for c in ("mean_distance", "tightness", "separation")])
 
 
 @query(f"WITH {_CENT} SELECT vec_id, CASE WHEN size >= 3 THEN d > mean_distance + 1.5 * sd ELSE false END AS outlier FROM d JOIN t USING (label)")
 def cluster_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, members = cluster.confidence(table(spark, sf_dir, "embeddings"), [], "label", "embedding")
+    _, members = cluster.confidence(table(spark, sf_dir, "embeddings"), [], "label", "embedding", "vec_id")
     return members.select("vec_id", "outlier")
 
 
@@ -582,3 +585,6 @@ def composed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("ms", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
     return o.select("o_orderkey", labels.kit_folder(F.col("ms"), F.col("o_orderpriority")).alias("kit"), labels.session_stamp(F.col("ms")).alias("stamp"), labels.backup_folder(F.col("ms")).alias("backup"))
+
+
+from tidemark.plans import entries as _entries  # noqa: E402,F401  registers its queries, too

@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import AUDIO_EXTENSIONS, basename, extension
+from tidemark.functions.levels import SILENCE_DB, finite
 from tidemark.sources import schemas
 
 #: Prefixes of files the recorder wrote itself.
 OWN_PREFIXES = ("recording_", "imported_")
+CURRENT_VERSION = 3
 
 
 def files(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> DataFrame:
@@ -86,14 +88,40 @@ def sync_state(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("s.kits").alias("kit", "v")).select("kit", F.col("v.tagsFingerprint").alias("fingerprint"), "v.pushed", F.col("v.pushedAt").alias("pushed_at"), F.col("v.tagCount").alias("tag_count"), F.col("v.audioContentHash").alias("audio_content_hash"))
 
 
+def _number(value: Column) -> Column:
+    """What a JSON value counts as: null and blank text as 0, other text as the number it holds; null where it holds none."""
+    number = F.trim(value).try_cast("double")
+    return F.when(value.isNull() | (F.trim(value) == ""), F.lit(0.0)).when(finite(number), number)
+
+
+def _field(item: Column, name: str) -> Column:
+    """The number in a field, null where the field is missing or no number."""
+    return F.when(F.map_contains_key(item, name), _number(item[name]))
+
+
 def waveform(text: Column) -> Column:
-    """A level series from its JSON: the current form, or an older array of heights from 0 to 1 at 50 ms; anything else is empty."""
-    now = F.from_json(text, schemas.WAVEFORM)
-    old = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<double>"))
-    none = F.lit(None).cast("double")
-    heights = F.transform(old, lambda h, k: F.struct((k * 50).cast("double").alias("tMs"), (h * 60 - 60).alias("avgDb"), (h * 60 - 60).alias("peakDb"), none.alias("minAmp"), none.alias("maxAmp")))
-    samples = F.coalesce(F.when(now["version"] >= 2, now["samples"]), heights, F.array().cast(f"array<{schemas.SAMPLE}>"))
-    return F.struct(F.coalesce(now["version"], F.lit(1)).alias("version"), F.coalesce(now["barDurationMs"], F.lit(50)).alias("barDurationMs"), now["source"].alias("source"), F.filter(samples, lambda s: s["tMs"].isNotNull()).alias("samples"))
+    """A level series from its JSON: the current form, or an older array of heights from 0 to 1 at 50 ms; anything else is
+    empty. A missing time is 0, a missing level silence; amplitudes may be missing; heights are held within 0 and 1, and 0
+    is silence; a version or a bar's duration that is missing or 0 is the current one."""
+    now = F.from_json(text, f"struct<{', '.join(f.replace(' ', ':', 1) for f in schemas.WAVEFORM.split(', '))}>")
+    old = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+    none, silence = F.lit(None).cast("double"), F.lit(SILENCE_DB)
+
+    def level(height: Column) -> Column:
+        h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(_number(height), F.lit(0.0))))
+        return F.when(h <= 0, silence).otherwise(h * 60 - 60)
+
+    heights = F.transform(old, lambda h, k: F.struct((k * 50).cast("double").alias("tMs"), level(h).alias("avgDb"), level(h).alias("peakDb"), none.alias("minAmp"), none.alias("maxAmp")))
+    current = F.transform(now["samples"], lambda s: F.struct(F.coalesce(_field(s, "tMs"), F.lit(0.0)).alias("tMs"), *[F.coalesce(_field(s, c), silence).alias(c) for c in ("avgDb", "peakDb")], *[_field(s, c).alias(c) for c in ("minAmp", "maxAmp")]))
+    whole = now["samples"].isNotNull()
+
+    def or_default(c: str, default: int) -> Column:
+        given = F.coalesce(_number(now[c]), F.lit(0.0)).cast("int")
+        return F.when(whole & (given != 0), given).otherwise(F.lit(default))
+
+    version = F.when(old.isNotNull(), F.lit(1)).otherwise(or_default("version", CURRENT_VERSION))
+    source = F.when(old.isNotNull(), "metering").when(whole & now["source"].isin("file", "metering"), now["source"])
+    return F.struct(version.alias("version"), or_default("barDurationMs", 50).alias("barDurationMs"), source.alias("source"), F.coalesce(current, heights, F.array().cast(f"array<{schemas.SAMPLE}>")).alias("samples"))
 
 
 def samples(recordings: DataFrame) -> DataFrame:
@@ -130,6 +158,12 @@ def first_existing(wanted: DataFrame, listed: DataFrame, candidates: list[str])
     return out.withColumn("path", F.coalesce(*there)).drop(*there)
 
 
+def cached_embeddings(members: DataFrame, cache: DataFrame) -> DataFrame:
+    """Members with what the embedding cache holds for them (the first, where it holds several), the others left out."""
+    known = cache.where(F.col("embedding").isNotNull()).groupBy("member_id").agg(F.first("embedding").alias("embedding"))
+    return members.join(known, "member_id")
+
+
 def missing_embeddings(members: DataFrame, cache: DataFrame) -> DataFrame:
     """Members that the embedding cache hasn't got."""
     return members.join(cache.select("member_id"), "member_id", "left_anti")

@@ -6,7 +6,8 @@ from __future__ import annotations
 RECORDINGS = "id bigint, filename string, session_name string, created_at bigint, duration_ms bigint, waveform_data string, uuid string, audio_content_hash string"
 TAGS = "id bigint, recording_id bigint, timestamp_ms bigint, label string, uuid string, start_ms bigint, end_ms bigint, source string, status string, imported_at bigint"
 SAMPLE = "struct<tMs:double,avgDb:double,peakDb:double,minAmp:double,maxAmp:double>"
-WAVEFORM = f"version int, barDurationMs int, source string, samples array<{SAMPLE}>"
+#: Read as text, as a field that is missing isn't one that is null, and numbers may be written as text.
+WAVEFORM = "version string, barDurationMs string, source string, samples array<map<string,string>>"
 MANIFEST = (
     "schemaVersion int, recordingId bigint, recordingUuid string, sessionName string, originalSessionName string, voiceNotesOriginalFilename string, recordingLocation string, contextNotes string, filename string, "
     "audioFile string, durationMs bigint, createdAt bigint, codec string, sampleRate int, bitDepth int, channels int, audioContentHash string, exportedAt string"
