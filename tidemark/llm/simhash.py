@@ -53,9 +53,9 @@ ROUND_ROWS = 24
 #: How many table matches cost as much as a row that is shuffled.
 _MATCHES_A_ROW = 50
 #: Fingerprints beside the segment's that a candidate of several fingerprints is checked in.
-CHECKS = 2
+CHECKS = 4
 #: Widths of segments that are chosen from, and the rows a slot may have by chance.
-WIDTHS, SLOT_ROWS = (8, 12, 16, 20, 24, 28, 32), 32
+WIDTHS, SLOT_ROWS = (16, 20, 24, 28, 32), 32
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -224,9 +224,9 @@ class Lookups:
     def _tables(self, nodes: DataFrame, segments: range) -> DataFrame:
         return self._rows(nodes, [(k, 0) for k in segments]).drop("same")
 
-    def _near(self, a: str, b: str) -> Column:
+    def _near(self, a: str, b: str, most: float) -> Column:
         parts = [F.bit_count(F.col(f"{a}.c{k}").bitwiseXOR(F.col(f"{b}.c{k}"))) for k in self.checks]
-        return sum(parts[1:], parts[0]) <= self.max_check
+        return sum(parts[1:], parts[0]) <= most
 
     def _once(self, slot: Column, a: str, b: str) -> Column:
         """Whether this segment is the first that finds the pair; known where the check is the fingerprint itself."""
@@ -238,11 +238,12 @@ class Lookups:
         return first
 
     def stars(self, nodes: DataFrame) -> DataFrame:
-        """Near pairs ``(a, b)`` of a node with the least node that has its value in some segment."""
+        """Pairs ``(a, b)`` of a node with the least node that has its value in some segment, near or (of several
+        fingerprints) not far from it: they are no more than nodes and segments, so nearly all that link are kept."""
         table = self._tables(nodes, range(len(self.plan)))
         heads = table.groupBy("slot").agg(F.min(F.struct("node", "check")).alias("head"))
         met = spread_join(table, heads, "slot", "node")
-        return met.where((F.col("node") > F.col("head.node")) & self._near("check", "head.check")).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+        return met.where((F.col("node") > F.col("head.node")) & self._near("check", "head.check", self.max_check if self.count == 1 else 1.5 * self.max_check)).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
     def rounds(self) -> Iterator[range]:
         """The segments of each round of lookups."""
@@ -260,7 +261,7 @@ class Lookups:
         has them; they are all of different texts, and Spark splits such a partition as it joins (adaptive skew join)."""
         points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
         table = self._tables(nodes, segments).select("slot", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("part").alias("of_b"))
-        near = self._near("check", "check_b") & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), "check", "check_b")
+        near = self._near("check", "check_b", self.max_check) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), "check", "check_b")
         # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
         single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
         # a large part asks once for the rows of other parts in a slot, and its members meet those alone
