@@ -172,9 +172,11 @@ def judge(docs: DataFrame, keep: list[str], references: list[Reference], text_co
     n = F.greatest(q["n_words"].cast("double"), F.lit(1.0))
 
     def word_distance(r: Reference) -> Column:
-        own = F.transform(F.array(*[F.lit(f" {w} ") for w in r.words]), lambda w: (F.length(q["common"]) - F.length(F.replace(q["common"], w))) / F.length(w))
-        others = F.array(q["n_words"] - F.aggregate(own, zero, lambda a, x: a + x))
-        return js_distance(F.concat(own, others), n, [*r.shares, 1 - sum(r.shares)])
+        size = F.octet_length(q["common"])
+        own = F.transform(F.array(*[F.lit(f" {w} ") for w in r.words]), lambda w: (size - F.octet_length(F.replace(q["common"], w))) / F.octet_length(w))
+        # as the variable of a function the counts are made once, though they are used twice
+        whole = F.transform(F.array(own), lambda c: F.concat(c, F.array(q["n_words"] - F.aggregate(c, zero, lambda a, x: a + x))))
+        return F.get(F.transform(whole, lambda c: js_distance(c, n, [*r.shares, 1 - sum(r.shares)])), F.lit(0))
 
     def nearest(distances: dict[str, Column]) -> Column:
         return F.least(*distances.values()) if len(distances) > 1 else next(iter(distances.values()), zero)
