@@ -108,3 +108,22 @@ def test_pack_any_table(spark):
 
 def test_empty(docs):
     assert packing.pack(packing.pieces(docs.limit(0), PATH)).collect() == []
+
+
+def test_columns_of_its_own_names(spark):
+    """Columns that are named like the operator's own are the caller's, but for those that it gives."""
+    rows = [(k, 1 + k % 7, f"p{k}", 5, "x", "y") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, _part string, _local long, Offset string, sequence_id string")
+    out = packing.pack(df, max_len=16)
+    assert out.columns == ["doc_id", "length", "_part", "_local", "sequence_id", "offset"]
+    got = out.collect()
+    assert {(r["doc_id"], r["_part"], r["_local"]) for r in got} == {(k, f"p{k}", 5) for k in range(200)}
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in held.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 16

@@ -217,14 +217,17 @@ class Slots:
 
 
 def pack(cut: DataFrame, max_len: int = 4096, length_col: str = "length") -> DataFrame:
-    """``cut`` with ``sequence_id`` and ``offset`` for each row, by its length (1 to ``max_len``).
+    """``cut`` with ``sequence_id`` and ``offset`` for each row, by its length (1 to ``max_len``). Columns of ``cut`` with these names
+    give way to them. What ``pieces`` has taken down is used if ``cut`` has both of its columns, as numbers.
 
     The rows are saved once with their partition and their rank among that partition's rows of the same
     length; ranks over all rows follow from the counts by partition and length. So no group of equal
     lengths, however large, is sorted or gathered anywhere."""
     spark = cut.sparkSession
     part, local = _Numbers.names
-    if part not in cut.columns:
+    cut = cut.drop(*[c for c in cut.columns if c.lower() in ("sequence_id", "offset")])
+    if {(part, "bigint"), (local, "bigint")} - set(cut.dtypes):
+        part, local = free_name(cut, "_task"), free_name(cut, "_rank")
         at = cut.columns.index(length_col)
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
