@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mapped, named, saved, scratch_path
+from tidemark.llm.common import goes_at_exit, mapped, named, saved, scratch_path, spread_join
 
 #: A task begins a new archive when one has so many bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -83,13 +83,15 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_dedup_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", level: int = 6) -> DataFrame:
-    """Writes one record for each row of ``pages`` below ``folder``; returns the saved ``(archive, records)``."""
+    """Writes one record for each row of ``pages`` below ``folder``, which goes when the application ends; returns the saved
+    ``(archive, records)``."""
     page_id, url, text = named([id_col, url_col, payload_col])
     given = pages.select(page_id.alias("page_id"), url.alias("url"), F.coalesce(text, F.lit("")).cast("binary").alias("payload"))
     given = given.withColumn("sha", F.unhex(F.sha1("payload")))
     large = F.octet_length("payload") >= min_dedup_bytes
     firsts = given.where(large).groupBy("sha").agg(F.min("page_id").alias("first"))
-    planned = given.join(firsts, "sha", "left").select("page_id", "url", "payload", "sha", "first", (large & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    # pages with one payload may be any share of all rows: they are dealt to several tasks by their ids
+    planned = spread_join(given, firsts, "sha", "page_id", "left").select("page_id", "url", "payload", "sha", "first", (large & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = open_folder(folder)
@@ -114,7 +116,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["archive", "records"])
 
-    return saved(mapped(planned, write, "archive string, records long"), "archives")
+    out = saved(mapped(planned, write, "archive string, records long"), "archives")
+    goes_at_exit(pages.sparkSession, folder)
+    return out
 
 
 def _members(source: Any, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
@@ -207,7 +211,7 @@ def resolved(records: DataFrame) -> DataFrame:
     known = saved(records.drop("payload"), "records")
     own = known.where("record_type = 'response'")
     answers = own.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max("bytes").alias("payload_bytes"), F.max("read_digest").alias("payload_digest"), F.max("page_id").alias("refers_to"))
-    again = known.where("record_type <> 'response'").join(answers, "refers_to_record", "left")
+    again = spread_join(known.where("record_type <> 'response'"), answers, "refers_to_record", "record_id", "left")
     return own.select("*", F.col("bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), F.lit(None).cast("string").alias("refers_to")).unionByName(again)
 
 
