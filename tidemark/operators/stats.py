@@ -40,7 +40,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
             ends.append(F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col(value))).alias(f"_{side}_{name}"))
     found = joined.groupBy(*keys).agg(F.max("_all").alias("_all"), *ends)
     between = {name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (share * (F.col("_all") - 1) - F.floor(share * (F.col("_all") - 1))) for name, share in shares.items()}
-    return found.select(*keys, F.col("_all").alias("n"), *[c.cast("double").alias(name) for name, c in between.items()])
+    return found.select(*keys, F.coalesce("_all", F.lit(0)).alias("n"), *[c.cast("double").alias(name) for name, c in between.items()])
 
 
 def quantile_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

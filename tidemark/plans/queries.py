@@ -370,7 +370,7 @@ def candidate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_E}, {_TAGS}, {_CANDS}, {_PAIRS}, {_COVERED} SELECT user_id, count(*) AS n_candidates, count(*) FILTER (WHERE n_tags = 0) AS false_positives FROM covered GROUP BY 1")
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.false_positives(covered(spark, sf_dir), ["user_id"])
+    return evaluate.false_positives(covered(spark, sf_dir), ["user_id"]).drop("false_positive_pct")
 
 
 @query(f"{_MATCHED} SELECT tag_id FROM tags WHERE tag_id NOT IN (SELECT tag_id FROM best)")
