@@ -12,9 +12,8 @@ same.
 
 One fingerprint tells documents apart to a few bits only. ``alike`` takes ``count`` of them, of the different shingles,
 and links pairs by their exact Jaccard similarity: a pair at 0.8 differs in 15 % of all bits on average, so in one of enough
-segments it is within one bit, and within a bound in two fingerprints beside the segment's, with any wished
-probability. Candidates must then agree in all fingerprints to a loose bound; those far within it are links at once, and
-the shingles of the rest are compared.
+segments it is within one bit with any wished probability. The join verifies the distance over all fingerprints, with a
+bound that 95 % of such pairs keep; those far within it are links at once, and the shingles of the rest are compared.
 
 Near copies by the thousand would still give all their pairs. So rows that share a segment's value are first linked
 with the least of them alone, where the complete distance allows it. The balls then look only for links between the
@@ -30,7 +29,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -52,8 +51,6 @@ LARGE = 32
 ROUND_ROWS = 24
 #: How many table matches cost as much as a row that is shuffled.
 _MATCHES_A_ROW = 50
-#: Fingerprints beside the segment's that a candidate of several fingerprints is checked in.
-CHECKS = 4
 #: Widths of segments that are chosen from, and the rows a slot may have by chance.
 WIDTHS, SLOT_ROWS = (16, 20, 24, 28, 32), 32
 
@@ -181,19 +178,21 @@ def _at_most(k: int, n: int, q: float) -> float:
     return sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1))
 
 
-def likely_plan(n: int, count: int, least: float, missed: float) -> tuple[list[Segment], int]:
-    """Segments with a radius of one, and the bits in which the check fingerprints may differ, such that a pair of
-    similarity ``least`` is missed with a probability of ``missed`` at most. Segments are so wide that chance gives a
-    slot few of ``n`` rows; the wider they are, the more it takes. ValueError if ``count`` fingerprints have too few."""
-    q = differing(least)
-    # nine of ten such pairs pass the check; a pair of 0.6 seldom does
-    max_check = next(k for k in range(64 * CHECKS) if _at_most(k, 64 * CHECKS, q) >= 0.9)
-    passed = _at_most(max_check, 64 * CHECKS, q)
+def likely_plan(n: int, count: int, least: float, missed: float) -> list[Segment]:
+    """Segments with a radius of one such that a pair of similarity ``least`` is within none of them with a probability of
+    ``missed`` at most. They are so wide that chance gives a slot few of ``n`` rows; the wider they are, the more it takes.
+    ValueError if ``count`` fingerprints have too few."""
     width = next((w for w in WIDTHS if n <= SLOT_ROWS << w), WIDTHS[-1])
-    tables = math.ceil(math.log(missed) / math.log1p(-passed * _at_most(1, width, q)))
+    tables = math.ceil(math.log(missed) / math.log1p(-_at_most(1, width, differing(least))))
     if tables > count * (64 // width):
         raise ValueError(f"{tables} segments of {width} bits take more than {count} fingerprints")
-    return [Segment(k % count, k // count * width, width, 1) for k in range(tables)], max_check
+    return [Segment(k % count, k // count * width, width, 1) for k in range(tables)]
+
+
+def most_differing(count: int, least: float, kept: float) -> int:
+    """The bits of ``count`` fingerprints in which a pair of similarity ``least`` differs at most, with probability ``kept``."""
+    q = differing(least)
+    return next(k for k in range(64 * count + 1) if _at_most(k, 64 * count, q) >= kept)
 
 
 def _signed(x: int) -> int:
@@ -202,15 +201,13 @@ def _signed(x: int) -> int:
 
 class Lookups:
     """Tables and lookups of a plan over nodes ``(node, code, part, large)``: ``code`` is an array of ``count``
-    fingerprints. A pair is near if it differs in at most ``max_check`` bits of the CHECKS fingerprints after the
-    segment's; of a single fingerprint, of that itself."""
+    fingerprints. A pair is near if it differs in at most ``max_bits`` bits of all of them."""
 
-    def __init__(self, plan: list[Segment], count: int, max_check: int):
-        self.plan, self.count, self.max_check = plan, count, max_check
-        self.checks = range(1, CHECKS + 1) if count > CHECKS else range(1)
+    def __init__(self, plan: list[Segment], count: int, max_bits: int):
+        self.plan, self.count, self.max_bits = plan, count, max_bits
 
     def _rows(self, nodes: DataFrame, points: list[tuple[int, int]]) -> DataFrame:
-        """``(slot, node, check, part, same)``: a row for each node and point ``(segment, flip)``, the lowest bit of the flip
+        """``(slot, node, code, part, same)``: a row for each node and point ``(segment, flip)``, the lowest bit of the flip
         being 0 in the node."""
         made = []  # as SQL: a ball may have hundreds of points
         for k, flip in points:
@@ -219,31 +216,34 @@ class Lookups:
         rows = nodes.select("node", "code", "part", F.explode(F.expr(f"array({', '.join(made)})")).alias("s")).withColumn("fp", F.get("code", F.col("s.at")))
         key = F.call_function("shiftrightunsigned", F.col("fp").bitwiseXOR(F.col("s.flip")).bitwiseAND(F.col("s.cover")), F.col("s.low"))
         slot = F.col("s.seg").cast("long") * F.lit(1 << 40) + key
-        return rows.where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0).select(slot.alias("slot"), "node", F.struct(*[F.get("code", (F.col("s.at") + k) % self.count).alias(f"c{k}") for k in self.checks]).alias("check"), "part", (F.col("s.flip") == 0).alias("same"))
+        return rows.where(F.col("fp").bitwiseAND(F.col("s.lowest")) == 0).select(slot.alias("slot"), "node", "code", "part", (F.col("s.flip") == 0).alias("same"))
 
     def _tables(self, nodes: DataFrame, segments: range) -> DataFrame:
-        return self._rows(nodes, [(k, 0) for k in segments]).drop("same")
+        """``(slot, b, code_b, of_b)``."""
+        rows = self._rows(nodes, [(k, 0) for k in segments])
+        return rows.select("slot", F.col("node").alias("b"), F.col("code").alias("code_b"), F.col("part").alias("of_b"))
 
-    def _near(self, a: str, b: str, most: float) -> Column:
-        parts = [F.bit_count(F.col(f"{a}.c{k}").bitwiseXOR(F.col(f"{b}.c{k}"))) for k in self.checks]
-        return sum(parts[1:], parts[0]) <= most
+    def _apart(self) -> Column:
+        """The bits in which ``code`` and ``code_b`` differ; no function over arrays, so that the join compiles it."""
+        bits = [F.bit_count(F.get("code", F.lit(k)).bitwiseXOR(F.get("code_b", F.lit(k)))) for k in range(self.count)]
+        return sum(bits[1:], bits[0])
 
-    def _once(self, slot: Column, a: str, b: str) -> Column:
-        """Whether this segment is the first that finds the pair; known where the check is the fingerprint itself."""
+    def _once(self) -> Column:
+        """Of a single fingerprint: whether this segment is the first that finds the pair."""
         first = F.lit(True)
         if self.count == 1:
-            apart = F.col(f"{a}.c0").bitwiseXOR(F.col(f"{b}.c0"))
+            apart = F.get("code", F.lit(0)).bitwiseXOR(F.get("code_b", F.lit(0)))
             for k, s in enumerate(self.plan):
-                first = first & ((slot <= F.lit((k + 1 << 40) - 1)) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(s.cover)))) > s.radius))
+                first = first & ((F.col("slot") <= F.lit((k + 1 << 40) - 1)) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(s.cover)))) > s.radius))
         return first
 
-    def stars(self, nodes: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` of a node with the least node that has its value in some segment, near or (of several
-        fingerprints) not far from it: they are no more than nodes and segments, so nearly all that link are kept."""
-        table = self._tables(nodes, range(len(self.plan)))
-        heads = table.groupBy("slot").agg(F.min(F.struct("node", "check")).alias("head"))
-        met = spread_join(table, heads, "slot", "node")
-        return met.where((F.col("node") > F.col("head.node")) & self._near("check", "head.check", self.max_check if self.count == 1 else 1.5 * self.max_check)).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    def stars(self, nodes: DataFrame, segments: range) -> DataFrame:
+        """Near pairs ``(a, b, total)`` of a node with the least node that has its value in some segment: no more than nodes
+        and segments, however many rows a slot has. Spark splits a partition that has very many (adaptive skew join)."""
+        table = self._tables(nodes, segments).select("slot", F.col("b").alias("node"), F.col("code_b").alias("code"))
+        heads = table.groupBy("slot").agg(F.min(F.struct("node", "code")).alias("head")).select("slot", F.col("head.node").alias("b"), F.col("head.code").alias("code_b"))
+        met = table.hint("merge").join(heads, "slot").where((F.col("node") > F.col("b")) & (self._apart() <= self.max_bits))
+        return met.select(F.col("node").alias("a"), "b", self._apart().alias("total")).distinct()
 
     def rounds(self) -> Iterator[range]:
         """The segments of each round of lookups."""
@@ -257,42 +257,33 @@ class Lookups:
             yield range(start, len(self.plan))
 
     def across(self, nodes: DataFrame, segments: range) -> DataFrame:
-        """Near pairs ``(a, b)`` of nodes of different parts, by some segments. A slot's rows may be many where a large part
-        has them; they are all of different texts, and Spark splits such a partition as it joins (adaptive skew join)."""
+        """Near pairs ``(a, b, total)`` of nodes of different parts, by some segments. A slot's rows may be many where a large
+        part has them; they are all of different texts, and Spark splits such a partition as it joins."""
         points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
-        table = self._tables(nodes, segments).select("slot", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("part").alias("of_b"))
-        near = self._near("check", "check_b", self.max_check) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once(F.col("slot"), "check", "check_b")
+        table = self._tables(nodes, segments)
+        near = (self._apart() <= self.max_bits) & (~F.col("same") | (F.col("node") < F.col("b"))) & self._once()
         # merged, never broadcast: a plan's guess of the sizes doesn't see what explode makes
         single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
         # a large part asks once for the rows of other parts in a slot, and its members meet those alone
         many = self._rows(nodes.where("large"), points)
         others = many.select("slot", "part").distinct().hint("merge").join(table, "slot").where(F.col("part") != F.col("of_b")).drop("of_b")
         members = many.hint("merge").join(others, ["slot", "part"]).where(near)
-        found = single.select(F.col("node").alias("a"), "b").union(members.select(F.col("node").alias("a"), "b"))
-        return found if self.count == 1 else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _total(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        found = [x.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), self._apart().alias("total")) for x in (single, members)]
+        return found[0].union(found[1]) if self.count == 1 else found[0].union(found[1]).distinct()
 
 
 class Alike:
-    """Keeps pairs whose texts have a Jaccard similarity of ``least`` or more by different shingles. ``held`` has the texts
-    by row. Of ``64 * count`` bits, pairs that differ in more than a similarity of ``least`` gives by chance are none, and
-    those that differ in fewer than any below it would are some at once."""
+    """Keeps pairs ``(a, b, total)`` whose texts have a Jaccard similarity of ``least`` or more by different shingles. ``held`` has the
+    texts by row. Pairs that differ in fewer of ``64 * count`` bits than any below that similarity would by chance are some
+    at once."""
 
     def __init__(self, held: DataFrame, text_col: str, shingle: int, count: int, least: float):
         self.held, self.text_col, self.shingle, self.least = held, text_col, shingle, least
         bits, q = 64 * count, differing(least)
-        spread = math.sqrt(bits * q * (1 - q))
-        self.max_total, self.sure_total = round(bits * q + 3.3 * spread), round(bits * q - 3.3 * spread)
+        self.sure_total = round(bits * q - 3.3 * math.sqrt(bits * q * (1 - q)))
 
-    def __call__(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        ends = pairs.join(nodes.select(F.col("node").alias("a"), F.col("code").alias("code_a")), "a")
-        ends = spread_join(ends, nodes.select(F.col("node").alias("b"), F.col("code").alias("code_b")), "b", "a")
-        near = saved(ends.select("a", "b", _total(F.col("code_a"), F.col("code_b")).alias("total")).where(F.col("total") <= self.max_total), "simhash-near")
-        shuffles_end(pairs.sparkSession)
-        return near.where(F.col("total") <= self.sure_total).select("a", "b").union(self.compared(near.where(F.col("total") > self.sure_total).select("a", "b")))
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("total") <= self.sure_total).select("a", "b").union(self.compared(pairs.where(F.col("total") > self.sure_total).select("a", "b")))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
@@ -317,31 +308,30 @@ class Alike:
         return saved(arrow_map(joined.select("a", "b", "set_a", "set_b"), compare, "a long, b long"), "simhash-alike")
 
 
-def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``: ``make`` gives the lookups
-    for a count of codes, and ``verify`` keeps the links among near pairs ``(a, b)`` of nodes."""
-    spark = rows.sparkSession
+    for a count of codes, and ``verify`` keeps the links among near pairs ``(a, b, total)`` of nodes."""
     nodes = saved(rows.groupBy("code").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "simhash-distinct")
     lookups = make(nodes.count())
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return verify(pairs, nodes) if verify else pairs
-
-    stars = saved(lookups.stars(nodes.select("node", "code", F.col("node").alias("part"))), "simhash-stars")
-    shuffles_end(spark)
-    close = components(links(stars))
+    step = 4 * max(map(len, lookups.rounds()))  # of stars, a segment has one row a node
+
+    def links(rounds: Iterable[DataFrame]) -> DataFrame:
+        pairs = None
+        for found in rounds:
+            found = saved(found, "simhash-pairs")
+            pairs = found if pairs is None else pairs.union(found)
+            shuffles_end(found.sparkSession)
+        if verify is None:
+            return pairs
+        return verify(saved(pairs.distinct(), "simhash-near"))
+
+    alone = nodes.select("node", "code", F.col("node").alias("part"))
+    close = components(links(lookups.stars(alone, range(k, min(k + step, len(lookups.plan)))) for k in range(0, len(lookups.plan), step)))
     sizes = close.groupBy(F.col("component").alias("part")).count().where(F.col("count") >= LARGE).select("part", F.lit(True).alias("large"))
     parted = nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part"))
     parted = saved(spread_join(parted, sizes, "part", "node", "left").withColumn("large", F.coalesce("large", F.lit(False))), "simhash-parts")
-    found = []
-    for segments in lookups.rounds():
-        found.append(saved(lookups.across(parted, segments), "simhash-pairs"))
-        shuffles_end(spark)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
     forest = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    close = components(forest.union(links(pairs.distinct() if len(found) > 1 else pairs)))
+    close = components(forest.union(links(lookups.across(parted, segments) for segments in lookups.rounds()).select("a", "b")))
     labelled = nodes.join(close, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     return spread_join(labelled, least, "component", "node").select("code", "component", "component_id")
@@ -358,14 +348,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, count: int = 12, missed: float = 0.03) -> DataFrame:
     """``docs`` with one row of each component: that with the least id, of equal ids the first saved. Documents link at a
-    Jaccard similarity of ``least`` or more by their different shingles; a pair at ``least`` is missed with a probability of
-    about ``missed``, one above it with less. Documents that agree in all ``count`` fingerprints are copies."""
+    Jaccard similarity of ``least`` or more by their different shingles; of pairs at ``least``, the lookups miss a share of
+    ``missed`` and the bound on all bits about one in twenty, of pairs above it few. Documents that agree in all ``count``
+    fingerprints are copies."""
     held = saved(fingerprints(docs, docs.columns, text_col, shingle, count, repeats=False), "simhash")
     rows = held.select(F.col("keep").getField(id_col).alias("doc_id"), "code", "row")
 
     def make(n: int) -> Lookups:
-        plan, max_check = likely_plan(n, count, least, missed)
-        return Lookups(plan, count, max_check)
+        return Lookups(likely_plan(n, count, least, missed), count, most_differing(count, least, 0.95))
 
     grouped = spread_join(rows, groups(rows, make, Alike(held, text_col, shingle, count, least)), "code", "row")
     # the least id first, then the least row among those that have it; both are summed up before a shuffle
