@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mapped, named, row_numbers, saved
+from tidemark.llm.common import mapped, named, row_numbers, saved, spread_join
 from tidemark.llm.components import components
 
 #: Rows of a chunk, rows compared with a chunk at once, and pairs verified at once: these bound memory.
@@ -202,8 +202,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     labelled = nodes.select("k1", "k2", "copies", "least", "node").join(linked, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = labelled.join(least, "component").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    of = spread_join(labelled, least, "component", "node").select(F.struct("k1", "k2").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     # vectors without a key pass by the join: their nulls would all meet in one task
-    good = keyed.where("v is not null").select("vec_id", "k1", "k2").join(of, ["k1", "k2"]).select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    good = spread_join(keyed.where("v is not null").select("vec_id", F.struct("k1", "k2").alias("k")), of, "k", "vec_id").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = keyed.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
