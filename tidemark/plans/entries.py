@@ -3,11 +3,11 @@ query names the inventory numbers it covers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels, levels
-from tidemark.operators import checks, cluster, diarize, evaluate, intervals, merge, segments, stats, store
+from tidemark.operators import checks, cluster, diarize, evaluate, intervals, merge, segments, signal, stats, store
 from tidemark.plans import candidates as gate
 from tidemark.plans.queries import _CANDS, _COVERED, _E, _MATCHED, _PAIRS, _TAGS, BUCKET, DAY, HOUR, candidates, covered, events, matched, query, table, tags
 from tidemark.sources import kits, sinks
@@ -665,3 +665,57 @@ def kit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diarization_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The backends there could be."""
     return spark.createDataFrame([(b["name"],) for b in diarize.backend_status()], "name string")
+
+
+# Sound: a recording of 3 s at 1000 Hz for each of the first customers, its samples by a rule
+
+_RATE, _SAMPLES = 1000, 3000
+_SOUND = f"s AS (SELECT c_custkey AS kit, i, ((i * (7 + c_custkey % 40) % 2001 - 1000) * CASE WHEN i // 500 % 2 = 0 THEN 2 ELSE 20 END) / 32768.0 AS x FROM customer, (SELECT unnest(range({_SAMPLES})) AS i) WHERE c_custkey < 40)"
+
+
+def _sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(kit, content)``: WAV files, made of their bytes."""
+    def little(n: int, width: int) -> str:
+        return n.to_bytes(width, "little").hex()
+
+    size = 2 * _SAMPLES
+    head = b"RIFF".hex() + little(36 + size, 4) + b"WAVEfmt ".hex() + little(16, 4) + little(1, 2) * 2 + little(_RATE, 4) + little(2 * _RATE, 4) + little(2, 2) + little(16, 2) + b"data".hex() + little(size, 4)
+    i = F.sequence(F.lit(0), F.lit(_SAMPLES - 1))
+
+    def sample(k: Column) -> Column:
+        v = (k * (F.col("c_custkey") % 40 + 7) % 2001 - 1000) * F.when(F.floor(k / 500) % 2 == 0, 2).otherwise(20)
+        word = F.pmod(v, F.lit(65536))
+        return F.concat(*[F.lpad(F.hex(b), 2, "0") for b in (word % 256, F.floor(word / 256))])
+
+    own = table(spark, sf_dir, "customer").where("c_custkey < 40")
+    return own.select(F.col("c_custkey").cast("string").alias("kit"), F.unhex(F.concat(F.lit(head), F.array_join(F.transform(i, sample), ""))).alias("content"))
+
+
+@query(
+    f"WITH {_SOUND}, f AS (SELECT kit, k, sqrt(avg(x * x)) AS rms FROM s JOIN (SELECT unnest(range({(_SAMPLES - 30) // 10 + 1})) AS k) ON i >= 10 * k AND i < 10 * k + 30 GROUP BY 1, 2) "
+    "SELECT CAST(kit AS VARCHAR) AS kit, k AS frame_idx, CAST(10 * k AS DOUBLE) AS t_ms, round(20 * log10(rms + 1e-12), 6) AS db FROM f"
+)
+def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAV files decoded, and their levels by frame."""
+    return signal.frames(_sound(spark, sf_dir)).select("kit", "frame_idx", "t_ms", F.round("db", 6).alias("db"))
+
+
+@query(
+    f"WITH {_SOUND} SELECT CAST(kit AS VARCHAR) AS kit, CAST(i // 50 * 50 AS DOUBLE) AS \"tMs\", round(20 * log10(sqrt(avg(x * x)) + 1e-8), 6) AS \"avgDb\", round(20 * log10(max(abs(x)) + 1e-8), 6) AS \"peakDb\", round(min(x), 9) AS \"minAmp\", round(max(x), 9) AS \"maxAmp\" FROM s GROUP BY 1, 2"
+)
+def audio_level_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X7, X17's file form: a file's level series by bins of 50 ms."""
+    return signal.level_series(_sound(spark, sf_dir)).select("kit", "tMs", *[F.round(c, d).alias(c) for c, d in (("avgDb", 6), ("peakDb", 6), ("minAmp", 9), ("maxAmp", 9))])
+
+
+@query(
+    f"WITH {_SOUND}, f AS (SELECT kit, k, 20 * log10(sqrt(avg(x * x)) + 1e-12) AS db FROM s JOIN (SELECT unnest(range({(_SAMPLES - 30) // 10 + 1})) AS k) ON i >= 10 * k AND i < 10 * k + 30 GROUP BY 1, 2), p AS (SELECT kit, quantile_cont(db, 0.5) AS median FROM f GROUP BY 1), "
+    "a AS (SELECT f.kit, k, db, db >= median + 3 AS up, lead(10 * k, 1, 10 * k) OVER w AS nxt, lag(db >= median + 3, 1, false) OVER w AS was, median + 3 AS threshold FROM f JOIN p ON f.kit = p.kit WINDOW w AS (PARTITION BY f.kit ORDER BY k)), "
+    "r AS (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY kit ORDER BY k) AS run FROM a), e AS (SELECT kit, run, min(10 * k) AS s, max(nxt) AS x, least(1.0, greatest(0.0, (max(db) - any_value(threshold)) / 20)) AS score FROM r WHERE up GROUP BY 1, 2 HAVING max(nxt) - min(10 * k) BETWEEN 80 AND 2500), "
+    "m AS (SELECT *, CASE WHEN s - max(x) OVER (PARTITION BY kit ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 120 THEN 0 ELSE 1 END AS b FROM e), g AS (SELECT *, sum(b) OVER (PARTITION BY kit ORDER BY s) AS grp FROM m) "
+    "SELECT CAST(kit AS VARCHAR) AS kit, CAST(min(s) AS DOUBLE) AS start_ms, CAST(max(x) AS DOUBLE) AS end_ms, round(max(score), 6) AS score FROM g GROUP BY kit, grp"
+)
+def legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loud events by the median, those of a fitting length, merged."""
+    out = segments.legacy_events(signal.frames(_sound(spark, sf_dir)), ["kit"], delta_db=3.0)
+    return out.select("kit", "start_ms", "end_ms", F.round("score", 6).alias("score"))
