@@ -213,3 +213,31 @@ def test_components(spark):
                 a, b = root(a), root(b)
                 parent[max(a, b)] = min(a, b)
         assert got == {x: root(x) for x in parent}
+
+
+def test_saved_tables_and_settings(spark):
+    """Tables that are replaced go at once, and the session's settings are as they were; a cluster needs a shared folder."""
+    import os
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    first = common.saved(spark.range(10), "first")
+    path = common._folders[first].removeprefix("file://")
+    second = common.saved(first.where("id > 3"), "second", instead_of=[first])
+    assert not os.path.exists(path) and second.count() == 6 and spark.conf.get(key) == own
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_folder(cluster)
+
+
+def test_spread_join(spark):
+    """Like a plain join, also where one key has most rows."""
+    from tidemark.llm.common import spread_join
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, id % 50, 7) as k")
+    keyed = spark.range(40).selectExpr("id as k", "id * 2 as v")
+    for how in ("inner", "left"):
+        assert sorted(map(str, spread_join(rows, keyed, "k", "id", how).select("id", "k", "v").collect())) == sorted(map(str, rows.join(keyed, "k", how).select("id", "k", "v").collect()))
