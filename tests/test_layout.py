@@ -20,3 +20,17 @@ def test_nothing_else_names_it():
     for path in (ROOT / "tidemark").rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    """Only a local session may fall back to a folder of its own machine."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tidemark import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.scratch(cluster, "x")
+    assert session.scratch(spark, "x").startswith("file:")

@@ -24,9 +24,12 @@ def local(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the one that all executors share, or in a temporary one where none is named."""
+    """A fresh folder in the one that all executors share. Where none is named, a local session gets one of its own; on a
+    cluster that is an error, as executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -35,7 +38,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once in the shared folder and read again, so that what is used several times is made once."""
-    path = scratch(df.sparkSession, name)
+    """``df`` written once in the shared folder and read again, so that what is used several times is made once. The files go
+    when the application ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
