@@ -132,3 +132,11 @@ def test_embeddings_of_spans(spark, audio):
         rows = signal.span_embeddings(spans, audio, kind).select(F.size("embedding").alias("n"), "start_ms").collect()
         assert {r["n"] for r in rows} == {size} and {r["start_ms"] for r in rows} == {1000.0, 0.0, 100.0}
     assert signal.span_mel(spans, audio).select(F.max(F.size("mel")).alias("n")).first()["n"] <= 80
+
+
+def test_broken_recordings_and_no_backend(spark, audio):
+    """What can't be decoded has no candidates and harms no other; without a backend nothing is cut by speaker."""
+    both = audio.where("kit in ('talk', 'quiet')").unionByName(spark.createDataFrame([("bad", bytearray(b"RIFF....")), ("empty", bytearray())], "kit string, content binary"))
+    assert {r["kit"]: r["n"] for r in signal.frames(both).groupBy("kit").agg(F.count("*").alias("n")).collect() if r["kit"] in ("bad", "empty")} == {"bad": 1, "empty": 1}
+    found = candidates(both, backend="none").collect()
+    assert {r["kit"] for r in found} == {"talk"} and all(r["speaker_cluster"] is None for r in found)

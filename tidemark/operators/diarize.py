@@ -100,6 +100,14 @@ def split_by_speaker(regions: DataFrame, turns: DataFrame) -> DataFrame:
     return cut.unionByName(whole.select("kit", *rest, "start_ms", "end_ms"), allowMissingColumns=True)
 
 
+def speaker_pieces(regions: DataFrame, audio: DataFrame, speakers: int | None = None, backend: str = "auto") -> DataFrame:
+    """Regions cut where the speaker changes, or as they are where no backend can be used that is built in."""
+    if resolve_backend(backend) != "melstats":
+        return regions.withColumns({"speaker_cluster": F.lit(None).cast("string"), "speaker_confidence": F.lit(None).cast("double"), "split_by": F.lit(None).cast("string")})
+    turns = materialized(diarized(regions.select("kit", "region", "start_ms", "end_ms"), audio, speakers=speakers), "turns")
+    return split_by_speaker(regions, turns)
+
+
 def _by_region():
     from pyspark.sql import Window
 

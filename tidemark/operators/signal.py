@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import io
 import math
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -34,6 +35,14 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels).mean(axis=1), rate
 
 
+def decoded(content: bytes) -> tuple[np.ndarray, int]:
+    """The same, and no samples of what is no WAV file: one broken recording doesn't end a run over all of them."""
+    try:
+        return decode_wav(content)
+    except (wave.Error, EOFError, struct.error):
+        return np.zeros(0), 16_000
+
+
 def framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     """A view of the frames, the clip padded to one frame at least."""
     if len(x) < size:
@@ -302,7 +311,7 @@ def frames(audio: DataFrame, legacy: bool = False) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                t, db = level_frames(*decode_wav(r.content), **({"frame_ms": 20, "legacy_tail": True} if legacy else {}))
+                t, db = level_frames(*decoded(r.content), **({"frame_ms": 20, "legacy_tail": True} if legacy else {}))
                 yield pd.DataFrame({"kit": r.kit, "frame_idx": np.arange(len(t)), "t_ms": t, "db": db})
 
     return audio.select("kit", "content").mapInPandas(run, "kit string, frame_idx long, t_ms double, db double")
@@ -312,7 +321,7 @@ def level_series(audio: DataFrame, bin_ms: int = 50) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame(bin_peaks(*decode_wav(r.content), bin_ms), columns=["tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]).assign(kit=r.kit)[["kit", "tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]]
+                yield pd.DataFrame(bin_peaks(*decoded(r.content), bin_ms), columns=["tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]).assign(kit=r.kit)[["kit", "tMs", "avgDb", "peakDb", "minAmp", "maxAmp"]]
 
     return audio.select("kit", "content").mapInPandas(run, "kit string, tMs double, avgDb double, peakDb double, minAmp double, maxAmp double")
 
@@ -325,7 +334,7 @@ def _per_span(spans: DataFrame, audio: DataFrame, schema: str, make) -> DataFram
         names = [c.strip().split(" ")[0] for c in schema.split(",")]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=names)
-        x, rate = decode_wav(right.content.iloc[0])
+        x, rate = decoded(right.content.iloc[0])
         rows = []
         for r in left.sort_values(["start_ms", "end_ms"]).itertuples(index=False):
             s, e = max(0, int(r.start_ms / 1000 * rate)), min(len(x), int(r.end_ms / 1000 * rate))

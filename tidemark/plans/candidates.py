@@ -41,11 +41,10 @@ def judged(scored: DataFrame, reject: bool = True) -> DataFrame:
     return rows.withColumns({"score": F.least(F.col("score"), most), "flags": F.when(weak, F.array_append("flags", "possible_non_speech")).otherwise(F.col("flags")), "non_speech_reason": F.when(weak, F.col("_reason"))})
 
 
-def candidates(audio: DataFrame, tags: DataFrame | None = None, speakers: int | None = None) -> DataFrame:
-    """Candidate rows of each recording, those that a tag touches left out."""
+def candidates(audio: DataFrame, tags: DataFrame | None = None, speakers: int | None = None, backend: str = "melstats") -> DataFrame:
+    """Candidate rows of each recording, those that a tag touches left out. With backend ``none`` nothing is cut by speaker."""
     regions = materialized(speech_regions(audio), "speech")
-    turns = materialized(diarize.diarized(regions.select("kit", "region", "start_ms", "end_ms"), audio, speakers=speakers), "turns")
-    pieces = materialized(diarize.split_by_speaker(regions, turns), "pieces")
+    pieces = materialized(diarize.speaker_pieces(regions, audio, speakers, backend), "pieces")
     cut = signal.pause_split(pieces, signal.frames(audio))
     own = pieces.select("kit", F.col("start_ms").alias("parent_start"), "score", "speaker_cluster", "speaker_confidence", F.col("split_by").alias("_split")).dropDuplicates(["kit", "parent_start"])
     parts = materialized(cut.join(own, ["kit", "parent_start"]).withColumn("split_by", F.coalesce("split_by", "_split")), "parts")
