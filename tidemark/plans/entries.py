@@ -10,7 +10,9 @@ from tidemark.functions import labels, levels
 from tidemark.operators import checks, cluster, diarize, evaluate, intervals, merge, segments, signal, stats, store
 from tidemark.plans import candidates as gate
 from tidemark.plans.queries import _CANDS, _COVERED, _E, _MATCHED, _PAIRS, _TAGS, BUCKET, DAY, HOUR, candidates, covered, events, matched, query, table, tags
+from tidemark.session import scratch
 from tidemark.sources import kits, sinks
+from tidemark.streaming import levels as stream
 
 MINUTE = 60_000_000
 
@@ -719,3 +721,49 @@ def legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loud events by the median, those of a fitting length, merged."""
     out = segments.legacy_events(signal.frames(_sound(spark, sf_dir)), ["kit"], delta_db=3.0)
     return out.select("kit", "start_ms", "end_ms", F.round("score", 6).alias("score"))
+
+
+# Streams and files that are written and read again
+
+
+@query(
+    "SELECT user_id AS kit, event_id, 'file' AS origin FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id, 'metering' FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view')"
+)
+def replaced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-10: samples of a file where a recording has any, else the metered ones."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("kit"), "event_id", "event_type")
+    sides = [e.where(F.col("event_type") == kind).drop("event_type").withColumn("origin", F.lit(origin)) for kind, origin in (("click", "metering"), ("view", "file"))]
+    return stream.replaced_samples(*sides, ["kit"])
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1")
+def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-7, T-8: a file stream merged into a table, a version for each batch; the last batch is run twice."""
+    place = scratch(spark, "upsert-stream")
+    source = table(spark, sf_dir, "events")
+    none = source.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("newest")).limit(0)
+    none.write.parquet(f"{place}/state/version=base")
+
+    def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
+        new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
+        return old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+
+    each = stream.idempotent_upsert(f"{place}/state", merged)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        each(batch, number)
+        each(batch, number)
+
+    raw = stream.file_stream(spark, f"{sf_dir}/[e]vents.parquet", source.schema)
+    stream.into(raw, f"{place}/checkpoint", twice, "append").awaitTermination()
+    return spark.read.parquet(stream.newest_version(spark, f"{place}/state"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS kit, 'f' || c_nationkey AS fingerprint, c_custkey % 2 = 0 AS pushed, CAST(c_nationkey AS INTEGER) AS tag_count, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS audio_content_hash FROM customer WHERE c_custkey < 500")
+def sync_state_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of what has been pushed, written as a document and read again."""
+    c = table(spark, sf_dir, "customer").where("c_custkey < 500")
+    state = c.select(F.col("c_custkey").cast("string").alias("kit"), F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("fingerprint"), (F.col("c_custkey") % 2 == 0).alias("pushed"), F.lit("now").alias("pushed_at"), F.col("c_nationkey").alias("tag_count"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("audio_content_hash"))
+    place = scratch(spark, "sync-state")
+    sinks.sync_state_json(state, F.lit("now")).coalesce(1).write.text(place)
+    return kits.sync_state(spark, f"{place}/part-*").drop("pushed_at")
