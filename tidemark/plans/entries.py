@@ -723,6 +723,18 @@ def legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kit", "start_ms", "end_ms", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"WITH {_SOUND}, f AS (SELECT kit, k, 20 * log10(sqrt(avg(x * x)) + 1e-12) AS db FROM s JOIN (SELECT unnest(range({(_SAMPLES - 30) // 10 + 1})) AS k) ON i >= 10 * k AND i < 10 * k + 30 GROUP BY 1, 2), p AS (SELECT kit, quantile_cont(db, 0.25) AS base, max(k) AS n FROM f GROUP BY 1), "
+    "a AS (SELECT f.kit, k, db, n, base + 6 AS threshold, db >= base + 6 AS up, coalesce(max(CASE WHEN db < base + 3 THEN k END) OVER (PARTITION BY f.kit ORDER BY k ROWS UNBOUNDED PRECEDING), -1) AS lb, min(CASE WHEN db < base + 3 THEN k END) OVER (PARTITION BY f.kit ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS la FROM f JOIN p ON f.kit = p.kit), "
+    "b AS (SELECT *, lag(up, 1, false) OVER (PARTITION BY kit ORDER BY k) AS was FROM a), r AS (SELECT *, sum(CASE WHEN up AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY kit ORDER BY k) AS run FROM b), "
+    "g AS (SELECT kit, run, min(k) AS i, max(k) AS j, min(lb) AS lb, max(coalesce(la, n + 1)) AS la, any_value(n) AS n, max(db) AS peak, any_value(threshold) AS threshold FROM r WHERE up GROUP BY 1, 2), t AS (SELECT *, least(la - 1, j + 12, n) AS t1 FROM g), "
+    "q AS (SELECT *, least(i, greatest(lb + 1, i - 12, coalesce(lag(t1) OVER (PARTITION BY kit ORDER BY i) + 1, 0))) AS t0 FROM t) SELECT CAST(kit AS VARCHAR) AS kit, 10.0 * t0 - 80 AS start_ms, 10.0 * t1 + 110 AS end_ms, round(least(1.0, greatest(0.0, (peak - threshold) / 18)), 6) AS score FROM q"
+)
+def voice_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loud runs, their edges moved out over frames that are still raised."""
+    return segments.voice_runs(signal.frames(_sound(spark, sf_dir)), ["kit"]).select("kit", "start_ms", "end_ms", F.round("score", 6).alias("score"))
+
+
 # Streams and files that are written and read again
 
 
