@@ -257,4 +257,5 @@ def pack(cut: DataFrame, max_len: int = 4096, length_col: str = "length") -> Dat
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     longs = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]
-    return arrow_map(ranked, place, T.StructType([*[cut.schema[c] for c in own], *longs]))
+    # written down here, where batches are small: a sequence's ids are 16 kB, and a caller's batches may have any size
+    return saved(arrow_map(ranked, place, T.StructType([*[cut.schema[c] for c in own], *longs])), "packed", instead_of=[numbered])
