@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import saved, spread_join
 
 
-def _lowest_neighbour(arcs: DataFrame) -> DataFrame:
-    """For each ``a``, the lowest node among itself and its neighbours; combined before the shuffle, so a
-    hub costs each task one row."""
-    return arcs.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's higher neighbours go to the lowest node among itself and its neighbours. Lows are combined before the
+    shuffle, so a hub costs each task one row; a node that has no lower neighbour keeps its arcs without being looked up."""
     arcs = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return spread_join(arcs.where("b > a"), _lowest_neighbour(arcs), "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = arcs.groupBy("a").agg(F.min("b").alias("low")).where("low < a")
+    return spread_join(arcs.where("b > a"), low, "a", "b", "left").select(F.col("b").alias("a"), F.coalesce("low", "a").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node's lower neighbours, and the node, go to the lowest of them. A node with one of them is left as it is."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = _lowest_neighbour(down)
-    moved = spread_join(down, low, "a", "b").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    low = down.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("most"))
+    moved = spread_join(down, low.where("most > low").select("a", "low"), "a", "b").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(low.select("a", F.col("low").alias("b")))
 
 
