@@ -238,12 +238,12 @@ class Lookups:
         return first
 
     def stars(self, nodes: DataFrame, segments: range) -> DataFrame:
-        """Near pairs ``(a, b, total)`` of a node with the least node that has its value in some segment: no more than nodes
+        """Near pairs ``(a, b, total, part_a, part_b)`` of a node with the least node that has its value in some segment: no more than nodes
         and segments, however many rows a slot has. Spark splits a partition that has very many (adaptive skew join)."""
         table = self._tables(nodes, segments).select("slot", F.col("b").alias("node"), F.col("code_b").alias("code"))
         heads = table.groupBy("slot").agg(F.min(F.struct("node", "code")).alias("head")).select("slot", F.col("head.node").alias("b"), F.col("head.code").alias("code_b"))
         met = table.hint("merge").join(heads, "slot").where((F.col("node") > F.col("b")) & (self._apart() <= self.max_bits))
-        return met.select(F.col("node").alias("a"), "b", self._apart().alias("total")).distinct()
+        return met.select(F.col("node").alias("a"), "b", self._apart().alias("total"), F.col("node").alias("part_a"), F.col("b").alias("part_b")).distinct()
 
     def rounds(self) -> Iterator[range]:
         """The segments of each round of lookups."""
@@ -257,7 +257,7 @@ class Lookups:
             yield range(start, len(self.plan))
 
     def across(self, nodes: DataFrame, segments: range) -> DataFrame:
-        """Near pairs ``(a, b, total)`` of nodes of different parts, by some segments. A slot's rows may be many where a large
+        """Near pairs ``(a, b, total, part_a, part_b)`` of nodes of different parts, by some segments. A slot's rows may be many where a large
         part has them; they are all of different texts, and Spark splits such a partition as it joins."""
         points = [(k, f) for k in segments for f in self.plan[k].flips(self.plan[k].radius)]
         table = self._tables(nodes, segments)
@@ -266,14 +266,16 @@ class Lookups:
         single = self._rows(nodes.where("not large"), points).hint("merge").join(table, "slot").where((F.col("part") != F.col("of_b")) & near)
         # a large part asks once for the rows of other parts in a slot, and its members meet those alone
         many = self._rows(nodes.where("large"), points)
-        others = many.select("slot", "part").distinct().hint("merge").join(table, "slot").where(F.col("part") != F.col("of_b")).drop("of_b")
+        others = many.select("slot", "part").distinct().hint("merge").join(table, "slot").where(F.col("part") != F.col("of_b"))
         members = many.hint("merge").join(others, ["slot", "part"]).where(near)
-        found = [x.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), self._apart().alias("total")) for x in (single, members)]
+        first = F.col("node") < F.col("b")
+        parts = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("part", "of_b", "part_a"), ("of_b", "part", "part_b"))]
+        found = [x.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), self._apart().alias("total"), *parts) for x in (single, members)]
         return found[0].union(found[1]) if self.count == 1 else found[0].union(found[1]).distinct()
 
 
 class Alike:
-    """Keeps pairs ``(a, b, total)`` whose texts have a Jaccard similarity of ``least`` or more by different shingles. ``held`` has the
+    """Keeps pairs ``(a, b, total, part_a, part_b)`` whose texts have a Jaccard similarity of ``least`` or more by different shingles. ``held`` has the
     texts by row. Pairs that differ in fewer of ``64 * count`` bits than any below that similarity would by chance are some
     at once."""
 
@@ -283,7 +285,8 @@ class Alike:
         self.sure_total = round(bits * q - 3.3 * math.sqrt(bits * q * (1 - q)))
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.col("total") <= self.sure_total).select("a", "b").union(self.compared(pairs.where(F.col("total") > self.sure_total).select("a", "b")))
+        pairs = pairs.select("a", "b", "part_a", "part_b", "total")
+        return pairs.where(F.col("total") <= self.sure_total).drop("total").union(self.compared(pairs.where(F.col("total") > self.sure_total).drop("total")))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
@@ -296,21 +299,21 @@ class Alike:
 
         def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
-            return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            return batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
         known = saved(arrow_map(texts, sets, "row long, set binary"), "simhash-sets")
         joined = pairs.join(known.select(F.col("row").alias("a"), F.col("set").alias("set_a")), "a")
         joined = spread_join(joined, known.select(F.col("row").alias("b"), F.col("set").alias("set_b")), "b", "a")
-        return saved(arrow_map(joined.select("a", "b", "set_a", "set_b"), compare, "a long, b long"), "simhash-alike")
+        return saved(arrow_map(joined.select("a", "b", "part_a", "part_b", "set_a", "set_b"), compare, "a long, b long, part_a long, part_b long"), "simhash-alike")
 
 
 def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(code, component, component_id)`` for each different ``code`` of ``rows(code, doc_id, row)``: ``make`` gives the lookups
-    for a count of codes, and ``verify`` keeps the links among near pairs ``(a, b, total)`` of nodes."""
+    for a count of codes, and ``verify`` keeps the links among near pairs ``(a, b, total, part_a, part_b)`` of nodes."""
     nodes = saved(rows.groupBy("code").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "simhash-distinct")
     lookups = make(nodes.count())
     step = 4 * max(map(len, lookups.rounds()))  # of stars, a segment has one row a node
@@ -325,14 +328,17 @@ def groups(rows: DataFrame, make: Callable[[int], Lookups], verify: Callable[[Da
             return pairs
         return verify(saved(pairs.distinct(), "simhash-near"))
 
+    def joined(found: DataFrame) -> DataFrame:
+        """Components of the parts that links join: many links between two parts are one edge."""
+        return components(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+
     alone = nodes.select("node", "code", F.col("node").alias("part"))
-    close = components(links(lookups.stars(alone, range(k, min(k + step, len(lookups.plan)))) for k in range(0, len(lookups.plan), step)))
+    close = joined(links(lookups.stars(alone, range(k, min(k + step, len(lookups.plan)))) for k in range(0, len(lookups.plan), step)))
     sizes = close.groupBy(F.col("component").alias("part")).count().where(F.col("count") >= LARGE).select("part", F.lit(True).alias("large"))
-    parted = nodes.select("node", "code").join(close, "node", "left").select("node", "code", F.coalesce("component", "node").alias("part"))
+    parted = nodes.join(close, "node", "left").select("node", "code", "least", F.coalesce("component", "node").alias("part"))
     parted = saved(spread_join(parted, sizes, "part", "node", "left").withColumn("large", F.coalesce("large", F.lit(False))), "simhash-parts")
-    forest = close.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    close = components(forest.union(links(lookups.across(parted, segments) for segments in lookups.rounds()).select("a", "b")))
-    labelled = nodes.join(close, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = joined(links(lookups.across(parted, segments) for segments in lookups.rounds())).withColumnRenamed("node", "part")
+    labelled = spread_join(parted.select("node", "code", "least", "part"), whole, "part", "node", "left").withColumn("component", F.coalesce("component", "part"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     return spread_join(labelled, least, "component", "node").select("code", "component", "component_id")
 
