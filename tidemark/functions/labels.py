@@ -133,9 +133,11 @@ def number_or(c: Column, default: float) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(float(default)))
 
 
-def duration_or_last(duration_ms: Column, samples: Column, bar_ms: Column) -> Column:
-    """A recording's duration, else the end of its last level sample."""
-    return F.coalesce(F.when(duration_ms > 0, duration_ms.cast("double")), F.element_at(samples, -1)["tMs"] + bar_ms)
+def duration_or_last(duration_ms: Column, samples: Column, bar_ms: Column, known: Column | None = None) -> Column:
+    """A recording's duration, else the end of its last level sample. A duration counts where it is above 0, or where ``known``
+    says so."""
+    counts = duration_ms > 0 if known is None else known
+    return F.coalesce(F.when(counts, duration_ms.cast("double")), F.element_at(samples, -1)["tMs"] + bar_ms)
 
 
 def waveform_outdated(version: Column, samples: Column, current: int = 3) -> Column:
