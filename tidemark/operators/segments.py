@@ -30,10 +30,27 @@ def threshold_runs(frames: DataFrame, keys: list[str], order: list[str], value:
 
 def noise_threshold(frames: DataFrame, keys: list[str], value: str, share: float, delta: float) -> DataFrame:
     """``frames`` with ``floor`` (an exact percentile of each key's values) and ``threshold``."""
-    floors = frames.groupBy(*keys).agg(F.percentile(value, share).alias("floor"))
+    floors = percentile(frames, keys, value, share, "floor")
     return frames.join(floors, keys).withColumn("threshold", F.col("floor") + delta)
 
 
+def percentile(rows: DataFrame, keys: list[str], value: str, share: float, out: str) -> DataFrame:
+    """Keys and the exact interpolated percentile of their values, null where all are null.
+
+    Between two values ``lo`` and ``hi`` it is ``fma(lo, 1 - part, hi * part)``, to the last bit what DuckDB's ``quantile_cont``
+    gives: rows that lie on a threshold made of it are told apart by that bit. ``F.percentile`` rounds once more."""
+    by_value = rows.groupBy(*keys, value).agg(F.count(value).alias("_n"))  # null: none
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    at = share * (F.sum("_n").over(w) - 1)
+    placed = by_value.withColumns({"_upto": upto, "_at": at})
+    ends = [F.min(F.when(F.col("_upto") > place, F.col(value))).cast("double").alias(name) for name, place in (("_lo", F.floor("_at")), ("_hi", F.ceil("_at")))]
+    found = placed.groupBy(*keys).agg(*ends, F.first("_at").alias("_at"))
+    part = F.col("_at") - F.floor("_at")
+    between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("_lo"), 1 - part, F.col("_hi") * part).cast("double")
+    return found.select(*keys, F.when(part > 0, F.when(F.col("_hi").isNotNull(), between)).otherwise(F.col("_lo")).alias(out))
+
+
 def voice_runs(frames: DataFrame, keys: list[str], delta_db: float = 6.0, low_delta_db: float = 3.0, extend_frames: int = 12, pad_ms: float = 80.0, frame_ms: float = 30.0) -> DataFrame:
     """Padded runs of loud frames (``frame_idx``, ``t_ms``, ``db``), each edge moved out over the frames next to it that are
     still above a lower threshold, by ``extend_frames`` at most and not into the run before.
